@@ -61,9 +61,14 @@ def clip_html(html: Column | str, chars: int = 50_000) -> Column:
     return F.substring(col(html), 1, chars)
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space (of any kind) at both ends."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+
+
 def join_texts(parts: Column | str) -> Column:
-    """Trim every piece and put the pieces on lines of their own."""
-    return F.array_join(F.transform(col(parts), lambda p: F.trim(p)), "\n")
+    """Strip every piece and put the pieces on lines of their own."""
+    return F.array_join(F.transform(col(parts), strip), "\n")
 
 
 def comma_list(text: Column | str) -> Column:

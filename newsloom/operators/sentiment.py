@@ -54,18 +54,19 @@ def _is_upper(w: Column) -> Column:
     return (w == F.upper(w)) & (w != F.lower(w))
 
 
-def _valence() -> Column:
+def _with_valence(hits: DataFrame) -> DataFrame:
+    """Valence of each word of the lexicon after the words around it, in column `v`."""
     v = F.col("valence")
-    v = v + F.when(F.col("loud"), F.signum(v) * CAPITALS).otherwise(0.0)
+    hits = hits.withColumn("v", v + F.when(F.col("loud"), F.signum(v) * CAPITALS).otherwise(0.0))
     for d, weight in BOOST_BY_DISTANCE.items():
-        p = F.col(f"p{d}")
+        p, v = F.col(f"p{d}"), F.col("v")
         step = F.when(p.isin(*BOOSTERS), BOOST).when(p.isin(*DAMPENERS), -BOOST).otherwise(0.0)
-        v = v + F.when(v < 0, -step).otherwise(step) * weight
         negated = p.isin(*NEGATIONS) | F.coalesce(F.contains(p, F.lit("n't")), F.lit(False))
-        v = v * F.when(negated, F.lit(NEGATED)).otherwise(1.0)
+        boosted = v + F.when(v < 0, -1.0).otherwise(1.0) * step * weight
+        hits = hits.withColumn("v", boosted * F.when(negated, F.lit(NEGATED)).otherwise(1.0))
     but = F.col("but")
     turn = F.when(but == 0, 1.0).when(F.col("at") < but, BEFORE_BUT).when(F.col("at") > but, AFTER_BUT).otherwise(1.0)
-    return v * turn
+    return hits.withColumn("v", F.col("v") * turn)
 
 
 def sentiment(content: DataFrame, lexicon: DataFrame, *, text: str = "content", **limits) -> DataFrame:
@@ -98,14 +99,15 @@ def sentiment(content: DataFrame, lexicon: DataFrame, *, text: str = "content",
             )
         ).alias("t"),
     ).select("id", "marks", "but", "t.*")
-    scored = lookup_join(rows, lexicon.select("token", "valence"), ["token"], "left", spread=["id", "at"], **limits)
-    total = F.coalesce(F.sum(_valence()), F.lit(0.0))
+    scored = _with_valence(
+        lookup_join(rows, lexicon.select("token", "valence"), ["token"], "left", spread=["id", "at"], **limits)
+    )
     s = F.col("s") + F.signum("s") * F.col("marks")
-    score = F.round(s / F.sqrt(s * s + ALPHA), 4)
     return (
         scored.groupBy("id")
-        .agg(total.alias("s"), F.max("marks").alias("marks"))
-        .select("id", score.alias("sentiment_score"))
+        .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.max("marks").alias("marks"))
+        .select("id", s.alias("s"))
+        .select("id", F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + ALPHA), 4).alias("sentiment_score"))
         .withColumn("sentiment_label", sentiment_label("sentiment_score"))
     )
 
