@@ -98,62 +98,48 @@ def parse_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parse(h) for h in html], columns=["text", "nodes"])
 
 
-def selector_steps(selector_type: Column | str, selector: Column | str) -> Column:
-    """Selector text as steps (tag, id, classes), outermost first.
+def selector_steps(selector_type: str, selector: str) -> Column:
+    """Selector text as steps (tag, id, classes), outermost first; arguments are SQL.
 
     CSS: tag, `.class`, `#id`, their combinations and descendants. Of an xpath only
     the last step counts, as a tag. Other kinds give null and match nothing.
     """
-    s = strip(selector)
-    css = F.transform(
-        F.split(s, r"\s+"),
-        lambda part: F.struct(
-            F.lower(F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9-]*)", 1)).alias("tag"),
-            F.regexp_extract(part, r"#([^.#\s]+)", 1).alias("id"),
-            F.regexp_extract_all(part, F.lit(r"\.([^.#\s]+)"), F.lit(1)).alias("classes"),
-        ),
-    )
-    xpath = F.array(F.struct(
-        xpath_tag(s).alias("tag"), F.lit("").alias("id"), F.array().cast("array<string>").alias("classes")
-    ))
-    kind = col(selector_type)
-    return F.when(kind == "css", css).when(kind == "xpath", xpath)
+    none = "CAST(array() AS array<string>)"
+    return F.expr(rf"""
+        CASE {selector_type}
+        WHEN 'css' THEN transform(split(trim({selector}), r'\s+'), part -> struct(
+            lower(regexp_extract(part, r'^([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
+            regexp_extract(part, r'#([^.#\s]+)', 1) AS id,
+            regexp_extract_all(part, r'\.([^.#\s]+)', 1) AS classes))
+        WHEN 'xpath' THEN array(struct(element_at(split(trim({selector}), '/'), -1) AS tag, '' AS id, {none} AS classes))
+        END""")
 
 
 def xpath_tag(selector: Column | str) -> Column:
     return F.element_at(F.split(col(selector), "/"), -1)
 
 
-def _fits(node: Column, step: Column) -> Column:
-    given = (step["tag"] != "") | (step["id"] != "") | (F.size(step["classes"]) > 0)
-    return (
-        given
-        & ((step["tag"] == "") | (step["tag"] == node["tag"]))
-        & ((step["id"] == "") | F.coalesce(step["id"] == node["id"], F.lit(False)))
-        & (F.size(F.array_except(step["classes"], node["classes"])) == 0)
-    )
+def _fits(node: str, step: str) -> str:
+    """SQL test of an element against one step."""
+    return f"""(({step}.tag <> '' OR {step}.id <> '' OR size({step}.classes) > 0)
+        AND ({step}.tag = '' OR {step}.tag = {node}.tag)
+        AND ({step}.id = '' OR coalesce({step}.id = {node}.id, false))
+        AND (size({step}.classes) = 0 OR size(array_except({step}.classes, {node}.classes)) = 0))"""
 
 
-def matching(nodes: Column | str, steps: Column | str, among: Column | None = None) -> Column:
+def matching(steps: str, block: str | None = None, nodes: str = "nodes") -> Column:
     """Elements that fit the last step and have ancestors for the others, in their order.
 
-    `steps` should be a column made beforehand, it is used for every element. `among`
-    narrows the search to some of the `nodes`.
+    Arguments name columns. With `block`, only descendants of that element. Going up
+    from the parent, each ancestor may use up the next outer step.
     """
-    nodes, steps = col(nodes), col(steps)
-
-    def fits(node):
-        # walk up from the parent; each ancestor may use up the next outer step
-        left = F.aggregate(
-            F.reverse(node["path"]),
-            F.size(steps) - 1,
-            lambda todo, up: F.when(
-                (todo > 0) & _fits(F.get(nodes, up), F.get(steps, todo - 1)), todo - 1
-            ).otherwise(todo),
-        )
-        return _fits(node, F.element_at(steps, -1)) & ((F.size(steps) == 1) | (left == 0))
-
-    return F.when(steps.isNotNull(), F.filter(nodes if among is None else among, fits))
+    scope = f"n.no > {block}.no AND n.no <= {block}.last AND" if block else ""
+    outer = f"get({steps}, todo - 1)"
+    return F.expr(f"""
+        CASE WHEN {steps} IS NOT NULL THEN filter({nodes}, n -> {scope} {_fits('n', f'element_at({steps}, -1)')}
+            AND (size({steps}) = 1 OR 0 = aggregate(reverse(n.path), size({steps}) - 1,
+                (todo, up) -> CASE WHEN todo > 0 AND {_fits(f'get({nodes}, up)', outer)} THEN todo - 1 ELSE todo END)))
+        END""")
 
 
 def within(nodes: Column | str, node: Column) -> Column:

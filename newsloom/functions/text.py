@@ -36,10 +36,17 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def content_tokens(text: Column | str, stop_words: list[str], min_chars: int = 1) -> Column:
-    """Tokens without stop words and without tokens shorter than `min_chars`."""
-    keep = lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True)
-    return F.filter(tokens(text), lambda w: keep(w) & (F.length(w) >= min_chars))
+def sql_list(values: list[str]) -> str:
+    """Quoted SQL literals; long word lists go to Spark as one text."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def content_tokens(text: str, stop_words: list[str], min_chars: int = 1) -> Column:
+    """Tokens of a column without stop words and without tokens shorter than `min_chars`."""
+    known = f"AND w NOT IN ({sql_list(stop_words)})" if stop_words else ""
+    return F.expr(
+        rf"filter(split(lower(coalesce({text}, '')), r'[^\p{{L}}\p{{N}}_]+'), w -> length(w) >= {max(min_chars, 1)} {known})"
+    )
 
 
 def sentences(text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import html
 from newsloom.functions.scale import cut_lineage, lookup_join
-from newsloom.functions.text import article_quality, element_quality
+from newsloom.functions.text import article_quality, element_quality, sql_list
 from newsloom.functions.urls import resolve_url
 from newsloom.operators.selectors import KEY
 
@@ -42,7 +42,7 @@ def selector_candidates(
         html.selector_steps("selector_type", "selector").alias("steps"),
     )
     tried = lookup_join(nodes.select("page_id", "source_id", "text", "nodes"), compiled, ["source_id"], "inner", spread=["page_id"], **limits)
-    found = tried.withColumn("found", html.matching("nodes", "steps"))
+    found = tried.withColumn("found", html.matching("steps"))
     is_title = F.col("target_element") == "title"
     first = html.text_of("text", F.get("found", F.lit(0)))
     every = F.array_join(F.transform("found", lambda n: html.text_of("text", n)), "\n")
@@ -80,8 +80,8 @@ def extract_with_selectors(pages: DataFrame, patterns: DataFrame, **options) ->
 
 def _steps(nodes: DataFrame, name: str, default: str) -> Column:
     """Selector of a block part: the source's own (a column of the pages) or the default."""
-    own = F.col(name) if name in nodes.columns else F.lit(None).cast("string")
-    return html.selector_steps(F.lit("css"), F.coalesce(own, F.lit(default)))
+    given = f"coalesce({name}, {sql_list([default])})" if name in nodes.columns else sql_list([default])
+    return html.selector_steps("'css'", given)
 
 
 def blocks_of(
@@ -102,9 +102,9 @@ def blocks_of(
     )
     found = compiled.select(
         "*",
-        F.posexplode(F.slice(html.matching("nodes", "article_steps"), 1, max_items)).alias("position", "block"),
+        F.posexplode(F.slice(html.matching("article_steps"), 1, max_items)).alias("position", "block"),
     )
-    first = lambda steps: F.get(html.matching("nodes", steps, html.within("nodes", F.col("block"))), F.lit(0))
+    first = lambda steps: F.get(html.matching(steps, "block"), F.lit(0))
     parts = found.select(
         *keys, "url", "text", "position",
         first("title_steps").alias("t"), first("content_steps").alias("c"), first("link_steps").alias("l"),
@@ -135,7 +135,7 @@ def discover_selectors(nodes: DataFrame, winners: DataFrame) -> DataFrame:
     pages = nodes.select("page_id", "source_id", "nodes").join(per_page, "page_id")
     steps = lambda t: html.selector_steps(f"{t}.selector_type", f"{t}.selector").alias(f"{t}_steps")
     pages = pages.select("page_id", "source_id", "nodes", steps("title"), steps("content"))
-    hit = lambda t: F.get(html.matching("nodes", f"{t}_steps"), F.lit(0))
+    hit = lambda t: F.get(html.matching(f"{t}_steps"), F.lit(0))
     pages = pages.select("page_id", "source_id", "nodes", hit("title").alias("t"), hit("content").alias("c"))
 
     parent = lambda n: F.get(F.col("nodes"), n["parent"])

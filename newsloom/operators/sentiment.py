@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.scale import lookup_join
-from newsloom.functions.text import sentiment_label, words
+from newsloom.functions.text import sentiment_label, sql_list, words
 
 # Fixed values published with the method.
 ALPHA = 15
@@ -59,11 +59,10 @@ def _with_valence(hits: DataFrame) -> DataFrame:
     v = F.col("valence")
     hits = hits.withColumn("v", v + F.when(F.col("loud"), F.signum(v) * CAPITALS).otherwise(0.0))
     for d, weight in BOOST_BY_DISTANCE.items():
-        p, v = F.col(f"p{d}"), F.col("v")
-        step = F.when(p.isin(*BOOSTERS), BOOST).when(p.isin(*DAMPENERS), -BOOST).otherwise(0.0)
-        negated = p.isin(*NEGATIONS) | F.coalesce(F.contains(p, F.lit("n't")), F.lit(False))
-        boosted = v + F.when(v < 0, -1.0).otherwise(1.0) * step * weight
-        hits = hits.withColumn("v", boosted * F.when(negated, F.lit(NEGATED)).otherwise(1.0))
+        step = f"CASE WHEN p{d} IN ({sql_list(BOOSTERS)}) THEN 1 WHEN p{d} IN ({sql_list(DAMPENERS)}) THEN -1 ELSE 0 END"
+        negated = f"p{d} IN ({sql_list(NEGATIONS)}) OR coalesce(contains(p{d}, 'n\\'t'), false)"
+        boosted = f"v + CASE WHEN v < 0 THEN -1 ELSE 1 END * {step} * {BOOST}D * {weight}D"
+        hits = hits.withColumn("v", F.expr(f"({boosted}) * CASE WHEN {negated} THEN {NEGATED}D ELSE 1D END"))
     but = F.col("but")
     turn = F.when(but == 0, 1.0).when(F.col("at") < but, BEFORE_BUT).when(F.col("at") > but, AFTER_BUT).otherwise(1.0)
     return hits.withColumn("v", F.col("v") * turn)

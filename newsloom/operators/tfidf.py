@@ -16,18 +16,14 @@ def default_stop_words() -> list[str]:
     return list(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def ngrams(words: Column, low: int, high: int) -> Column:
-    """All n-grams of `low` to `high` words, joined by a blank."""
+def ngrams(words: str, low: int, high: int) -> Column:
+    """All n-grams of `low` to `high` words of an array column, joined by a blank."""
     grams = []
     for n in range(low, high + 1):
-        if n == 1:
-            grams.append(words)
-            continue
-        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        grams.append(
-            F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
-        )
-    return F.concat(*grams)
+        parts = "".join(f", get({words}, i + {k})" for k in range(1, n))
+        starts = f"slice({words}, 1, greatest(size({words}) - {n - 1}, 0))"
+        grams.append(words if n == 1 else f"transform({starts}, (w, i) -> concat_ws(' ', w{parts}))")
+    return F.expr(f"concat({', '.join(grams)})")
 
 
 def _in_field(name: str):
@@ -51,7 +47,7 @@ def term_counts(
     arrays = docs.select(
         "id",
         *keep,
-        *[content_tokens(F.coalesce(f, F.lit("")), stop, min_chars=2).alias(f) for f in fields],
+        *[content_tokens(f, stop, min_chars=2).alias(f) for f in fields],
     )
     terms = arrays.select(
         "id",
@@ -59,7 +55,7 @@ def term_counts(
         F.explode(
             F.concat(
                 *[
-                    F.transform(ngrams(F.col(f), *gram_range), _in_field(f))
+                    F.transform(ngrams(f, *gram_range), _in_field(f))
                     for f in fields
                 ]
             )

@@ -33,8 +33,16 @@ def quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # one small file is one task, however many cores are idle; tables of many files stay as they are
+    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def content(spark: SparkSession, sf: str) -> DataFrame:
