@@ -42,16 +42,14 @@ slightly somewhat sorta sortof sort-of
 """.split()
 
 EDGE_MARKS = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
+# a word with capitals and without small letters
+LOUD_WORD = r"(?U)(?<!\S)[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(?!\S)"
 
 
-def _bare_words(text: Column | str) -> Column:
-    """Words without punctuation around them; very short ones (smileys) stay whole."""
-    strip = lambda w: F.regexp_replace(w, EDGE_MARKS, "")
-    return F.transform(words(text), lambda w: F.when(F.length(strip(w)) <= 2, w).otherwise(strip(w)))
-
-
-def _is_upper(w: Column) -> Column:
-    return (w == F.upper(w)) & (w != F.lower(w))
+def _bare(word: str) -> str:
+    """SQL: the word without punctuation around it; very short ones (smileys) stay whole."""
+    stripped = f"regexp_replace({word}, r'{EDGE_MARKS}', '')"
+    return f"CASE WHEN length({stripped}) <= 2 THEN {word} ELSE {stripped} END"
 
 
 def _with_valence(hits: DataFrame) -> DataFrame:
@@ -71,40 +69,33 @@ def _with_valence(hits: DataFrame) -> DataFrame:
 def sentiment(content: DataFrame, lexicon: DataFrame, *, text: str = "content", **limits) -> DataFrame:
     """`id, sentiment_score, sentiment_label`; `lexicon` is `token, valence`, tokens in lower case."""
     t = F.coalesce(text, F.lit(""))
+    asked = F.regexp_count(t, F.lit(r"\?"))
     marks = (
         F.least(F.regexp_count(t, F.lit("!")), F.lit(MAX_EXCLAMATIONS)) * EXCLAMATION
-        + F.when(F.regexp_count(t, F.lit(r"\?")) <= 1, 0.0)
-        .when(F.regexp_count(t, F.lit(r"\?")) <= 3, F.regexp_count(t, F.lit(r"\?")) * QUESTION)
-        .otherwise(MANY_QUESTIONS)
+        + F.when(asked <= 1, 0.0).when(asked <= 3, asked * QUESTION).otherwise(MANY_QUESTIONS)
     )
-    docs = content.select("id", _bare_words(t).alias("w"), marks.alias("marks"))
-    docs = docs.withColumn("lw", F.transform("w", lambda x: F.lower(x))).withColumn(
-        "upper", F.size(F.filter("w", _is_upper))
+    docs = content.select("id", marks.alias("marks"), words(t).alias("w"), F.regexp_count(t, F.lit(LOUD_WORD)).alias("upper"), t.alias("t"))
+    docs = docs.withColumn("mixed", F.expr("upper > 0 AND upper < size(w)")).withColumn(
+        "but",  # its place is only looked for where the word occurs
+        F.expr(f"CASE WHEN contains(lower(t), 'but') THEN array_position(transform(w, x -> lower({_bare('x')})), 'but') ELSE 0 END"),
     )
-    mixed = (F.col("upper") > 0) & (F.col("upper") < F.size("w"))
-    rows = docs.select(
-        "id",
-        "marks",
-        F.array_position("lw", F.lit("but")).alias("but"),
-        F.explode_outer(
-            F.transform(
-                "w",
-                lambda w, i: F.struct(
-                    F.lower(w).alias("token"),
-                    (i + 1).alias("at"),
-                    (_is_upper(w) & mixed).alias("loud"),
-                    *[F.get("lw", i - d).alias(f"p{d}") for d in (1, 2, 3)],
-                ),
-            )
-        ).alias("t"),
-    ).select("id", "marks", "but", "t.*")
-    scored = _with_valence(
-        lookup_join(rows, lexicon.select("token", "valence"), ["token"], "left", spread=["id", "at"], **limits)
+    raw = docs.select(
+        "id", "mixed", "but",
+        F.expr("explode(transform(w, (x, i) -> struct(i + 1 AS at, x AS word, get(w, i - 1) AS w1, get(w, i - 2) AS w2, get(w, i - 3) AS w3)))").alias("r"),
+    ).select("id", "mixed", "but", "r.*").withColumn("word", F.expr(_bare("word")))
+    rows = raw.withColumn("token", F.lower("word"))
+    hits = lookup_join(rows, lexicon.select("token", "valence"), ["token"], "inner", spread=["id", "at"], **limits)
+    hits = hits.withColumn("loud", F.expr("mixed AND word = upper(word) AND word <> token"))
+    for d in BOOST_BY_DISTANCE:
+        hits = hits.withColumn(f"p{d}", F.expr(f"lower({_bare(f'w{d}')})"))
+    # articles without any word of the lexicon stay in, with a sum of 0
+    scored = _with_valence(hits).select("id", "v", F.lit(0.0).alias("marks")).unionByName(
+        content.select("id", F.lit(0.0).alias("v"), marks.alias("marks"))
     )
     s = F.col("s") + F.signum("s") * F.col("marks")
     return (
         scored.groupBy("id")
-        .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.max("marks").alias("marks"))
+        .agg(F.sum("v").alias("s"), F.max("marks").alias("marks"))
         .select("id", s.alias("s"))
         .select("id", F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + ALPHA), 4).alias("sentiment_score"))
         .withColumn("sentiment_label", sentiment_label("sentiment_score"))
