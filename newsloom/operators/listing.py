@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.scale import lookup_join
+from newsloom.functions.scale import is_small, salted_join
 from newsloom.functions.text import content_hash, tokens
 from newsloom.operators.dedup import with_source_names
 from newsloom.operators.similarity import similar_to
@@ -29,12 +29,18 @@ def has_keyword(keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, hits)
 
 
-def by_keyword_table(content: DataFrame, keywords: DataFrame, **limits) -> DataFrame:
-    """Articles with at least one whole word from the `keywords` table (word)."""
+def by_keyword_table(content: DataFrame, keywords: DataFrame, *, max_words: int = 10_000) -> DataFrame:
+    """Articles with at least one whole word from the `keywords` table (word).
+
+    A table of up to `max_words` words is one constant list, and the articles are only
+    filtered; with a larger one the words of the articles are joined.
+    """
     wanted = keywords.select(F.lower("word").alias("word")).distinct()
-    text = F.concat_ws(" ", "title", "content")
-    words = content.select("id", F.explode(F.array_distinct(tokens(text))).alias("word"))
-    hits = lookup_join(words, wanted, ["word"], "left_semi", spread=["id"], **limits)
+    words = tokens(F.concat_ws(" ", "title", "content"))
+    if is_small(wanted, max_words):
+        return content.where(F.arrays_overlap(words, wanted.agg(F.collect_list("word")).scalar()))
+    rows = content.select("id", F.explode(F.array_distinct(words)).alias("word"))
+    hits = salted_join(rows, wanted, ["word"], "left_semi", spread=["id"])
     return content.join(hits.select("id").distinct(), "id", "left_semi")
 
 

@@ -7,6 +7,8 @@ exclamation and question marks. The sum s becomes s / sqrt(s * s + 15).
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,13 @@ almost barely hardly kinda kindof kind-of less little marginally occasionally pa
 slightly somewhat sorta sortof sort-of
 """.split()
 
-EDGE_MARKS = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 # a word with capitals and without small letters
 LOUD_WORD = r"(?U)(?<!\S)[^\s\p{Ll}]*\p{Lu}[^\s\p{Ll}]*(?!\S)"
 
 
 def _bare(word: str) -> str:
     """SQL: the word without punctuation around it; very short ones (smileys) stay whole."""
-    stripped = f"regexp_replace({word}, r'{EDGE_MARKS}', '')"
+    stripped = f"btrim({word}, {sql_list([string.punctuation])})"
     return f"CASE WHEN length({stripped}) <= 2 THEN {word} ELSE {stripped} END"
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.functions.scale import cut_lineage, salted_join
+from newsloom.functions.scale import cut_lineage, is_small, salted_join
 from newsloom.functions.text import content_tokens
 
 
+MAX_BROADCAST_TERMS = 1_000_000  # some 50 MB
+
+
 def default_stop_words() -> list[str]:
     """Spark's English stop words (needs a running session)."""
     return list(StopWordsRemover.loadDefaultStopWords("english"))
@@ -20,9 +23,9 @@ def ngrams(words: str, low: int, high: int) -> Column:
     """All n-grams of `low` to `high` words of an array column, joined by a blank."""
     grams = []
     for n in range(low, high + 1):
-        parts = "".join(f", get({words}, i + {k})" for k in range(1, n))
+        parts = "".join(f", get({words}, place + {k})" for k in range(1, n))
         starts = f"slice({words}, 1, greatest(size({words}) - {n - 1}, 0))"
-        grams.append(words if n == 1 else f"transform({starts}, (w, i) -> concat_ws(' ', w{parts}))")
+        grams.append(words if n == 1 else f"transform({starts}, (first, place) -> concat_ws(' ', first{parts}))")
     return F.expr(f"concat({', '.join(grams)})")
 
 
@@ -82,15 +85,17 @@ def vocabulary(
 
 
 def raw_weights(counts: DataFrame, vocab: DataFrame, **skew) -> DataFrame:
-    """tf * idf before normalisation. A term of many documents is spread over tasks."""
-    return salted_join(
-        counts,
-        vocab.select("field", "term", "df", "idf"),
-        ["field", "term"],
-        spread=["id"],
-        counts=vocab.select("field", "term", "n"),
-        **skew,
-    ).withColumn("weight", F.col("tf") * F.col("idf"))
+    """tf * idf before normalisation.
+
+    A vocabulary of counted size goes to the documents; a larger one meets them in a
+    join that spreads the rows of frequent terms over tasks.
+    """
+    key, values = ["field", "term"], vocab.select("field", "term", "df", "idf")
+    if not skew and is_small(values, MAX_BROADCAST_TERMS):
+        joined = counts.join(F.broadcast(values), key)
+    else:
+        joined = salted_join(counts, values, key, spread=["id"], counts=vocab.select(*key, "n"), **skew)
+    return joined.withColumn("weight", F.col("tf") * F.col("idf"))
 
 
 def tfidf(
@@ -106,7 +111,7 @@ def tfidf(
     """`id, term, tf, df, weight`: tf * (ln((1+n)/(1+df)) + 1), unit length per document."""
     docs = docs.select("id", text)
     counts = cut_lineage(term_counts(docs, [text], stop_words=stop_words, gram_range=gram_range))
-    vocab = vocabulary(counts, docs, min_df=min_df, max_df=max_df)
+    vocab = cut_lineage(vocabulary(counts, docs, min_df=min_df, max_df=max_df))
     per_doc = W.partitionBy("id")
     weighted = raw_weights(counts, vocab, **skew)
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(per_doc))

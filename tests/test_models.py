@@ -1,0 +1,70 @@
+"""Quality model, topic model and the language-processing run."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.operators import quality
+from newsloom.operators.topics import article_topics, topic_counts, topic_model
+from newsloom.plans.nlp import process_nlp
+from workload import inputs
+
+
+@pytest.fixture(scope="module")
+def samples(spark, sf):
+    return inputs.training_data(spark, sf)
+
+
+def test_negatives_are_damaged_and_repeatable(samples):
+    good = quality.training_positives(samples)
+    bad = quality.damaged_negatives(good)
+    assert bad.count() == 30 and {r.damage for r in bad.collect()} <= {"cut", "shuffled", "repeated"}
+    again = quality.damaged_negatives(good.repartition(7))
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, again.collect()))
+    joined = bad.join(good.select("id", F.col("text").alias("whole")), "id")
+    for r in joined.collect():
+        if r.damage == "cut":
+            assert r.text == r.whole[: int(len(r.whole) * 0.2)]
+        if r.damage == "shuffled":
+            assert len(r.text.split()) == len(r.whole.split()) // 2
+        if r.damage == "repeated":
+            assert set(r.text.split()[1:-1]) and len(r.text) % 3 == 0
+
+
+def test_quality_model(samples, spark, sf, tmp_path):
+    assert quality.train_quality_model(samples.limit(9)) is None
+    trained = quality.train_quality_model(samples)
+    own = quality.prediction_metrics(trained.predictions).first()
+    assert own.accuracy == pytest.approx(trained.accuracy) and own.f1 == pytest.approx(trained.f1)
+    trained.save(str(tmp_path / "model"))
+    content = inputs.content(spark, sf)
+    one = quality.score_quality(content, trained.model).orderBy("id").collect()
+    assert one == quality.score_quality(content, quality.load_quality_model(str(tmp_path / "model"))).orderBy("id").collect()
+    assert all(0 <= r.extraction_quality <= 1 for r in one)
+
+
+def test_topics(spark):
+    docs = spark.createDataFrame(
+        [(i, "cats milk cats fur" if i % 2 else "cars road cars fuel") for i in range(20)], "id long, content string"
+    )
+    model = topic_model(docs, k=2, words=3, stop_words=[], gram_range=(1, 1), iterations=20)
+    assert all(len(r.words) == 3 for r in model.topics().collect())
+    got = article_topics(docs, model)
+    topics = {r.id: r.topic for r in got.collect()}
+    assert len({topics[i] for i in range(0, 20, 2)}) == 1 and len({topics[i] for i in range(1, 20, 2)}) == 1
+    assert topic_counts(got, limit=2).count() == 2
+
+
+def test_topics_without_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three four")], "id long, content string")
+    assert topic_model(docs, stop_words=[]) is None
+
+
+def test_language_processing_run(spark, sf):
+    content = inputs.content(spark, sf).withColumn("sentiment_label", F.when(F.col("id") < 50, "neutral"))
+    lexicon = spark.createDataFrame(inputs.LEXICON, "token string, valence double")
+    columns, counts = process_nlp(content, lexicon, stop_words=inputs.STOP_WORDS)
+    c = counts.first()
+    assert c.total == content.where("id >= 50").count() and c.total == c.processed + c.errors
+    assert columns.count() == c.processed and columns.where("summary is null or topics is null").count() == 0
+    _, forced = process_nlp(content, lexicon, stop_words=inputs.STOP_WORDS, force=True, limit=20)
+    assert forced.first().total == 20

@@ -99,6 +99,15 @@ def test_table_versions(spark, tmp_path):
     assert sorted(r.word for r in store.read("keywords").collect()) == ["a", "b", "c"]
 
 
+def test_keyword_table_small_and_large_give_the_same(spark, sf):
+    from newsloom.operators.listing import by_keyword_table
+
+    content = inputs.content(spark, sf)
+    words = spark.createDataFrame([(w,) for w in ("The", "nicht")], "word string")
+    ids = lambda **o: sorted(r.id for r in by_keyword_table(content, words, **o).select("id").collect())
+    assert ids() == ids(max_words=1) != []
+
+
 def test_training_retention_never_above_limit(spark):
     s = spark.range(300).select("id", (F.col("id") % 3 % 2).alias("source_id"), F.lit(DAY).alias("date_collected"))
     counts = {r.source_id: r.samples for r in training.samples_per_source(training.keep_training(s, per_source=20)).collect()}
