@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions.scale import MAX_BROADCAST_ROWS, is_small
+
 KEY = ["source_id", "selector_type", "selector", "target_element"]
 
 # Fixed values of the score: score = 0.8 * (successes / trials) + 0.2 * previous score.
@@ -73,11 +77,49 @@ def selector_scores(trials: DataFrame, seed: DataFrame | None = None) -> DataFra
     )
 
 
-def selector_ranking(patterns: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Patterns of a source and target, best score first, ties by id."""
+def selector_ranking(
+    patterns: DataFrame, *, limit: int | None = None, max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Patterns with their `rank` in source and target, best score first, ties by id.
+
+    With `limit` the groups are cut before the shuffle. A table of more than `max_rows`
+    patterns is ranked in pieces, so that a source with very many of them is not one task.
+    """
     order = W.partitionBy("source_id", "target_element").orderBy(F.desc("score"), "id")
-    ranked = patterns.withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    if limit is not None:
+        return patterns.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    if is_small(patterns.select("id"), max_rows):
+        return patterns.withColumn("rank", F.row_number().over(order))
+    return _ranking_in_pieces(patterns)
+
+
+def _ranking_in_pieces(patterns: DataFrame) -> DataFrame:
+    """Rank = patterns in better bands + in better pieces of the band + place in the piece.
+
+    Bands are thousandths of the score; a piece is one score and a run of 65,536 ids.
+    """
+    group, piece = ["source_id", "target_element"], ["_band", "_score", "_chunk"]
+    score = F.coalesce("score", F.lit(-1.0))  # without a score: last
+    rows = patterns.withColumn("_score", score).withColumn("_band", F.floor(-score * 1000)).withColumn(
+        "_chunk", F.floor(F.col("id") / 65536)
+    )
+    sizes = rows.groupBy(*group, *piece).agg(F.count(F.lit(1)).alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    in_band = W.partitionBy(*group, "_band").orderBy(F.desc("_score"), "_chunk")
+    pieces = sizes.select(*group, *piece, before(in_band).alias("_in_band"))
+    bands = sizes.groupBy(*group, "_band").agg(F.sum("n").alias("n")).select(
+        *group, "_band", before(W.partitionBy(*group).orderBy("_band")).alias("_in_group")
+    )
+
+    def same(left, right, columns):
+        right = right.withColumnsRenamed({c: f"r_{c}" for c in columns})
+        test = reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[f"r_{c}"]) for c in columns])
+        return left.join(right, test).drop(*[f"r_{c}" for c in columns])
+
+    place = F.row_number().over(W.partitionBy(*group, *piece).orderBy("id"))
+    placed = same(rows.withColumn("_place", place), same(pieces, bands, [*group, "_band"]), [*group, *piece])
+    rank = (F.col("_in_group") + F.col("_in_band") + F.col("_place")).cast("int")
+    return placed.select(*patterns.columns, rank.alias("rank"))
 
 
 def save_new_selectors(patterns: DataFrame, found: DataFrame, *, as_of) -> DataFrame:

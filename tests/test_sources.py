@@ -46,6 +46,16 @@ def test_selector_score_beyond_the_tail_equals_the_full_fold(spark):
     assert row.score == pytest.approx(score, abs=1e-15) and row.success_count == good
 
 
+def test_ranking_in_pieces_equals_the_window(spark):
+    p = spark.range(3000).select(
+        (F.col("id") * 97).alias("id"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("source_id"),
+        F.when(F.col("id") % 2 == 0, "title").otherwise("content").alias("target_element"),
+        F.when(F.col("id") % 5 == 0, 0.5).when(F.col("id") % 41 == 0, None).otherwise((F.col("id") * 7919 % 1013) / 1013.0).alias("score"),
+    )
+    rank = lambda **o: {r.id: r["rank"] for r in selectors.selector_ranking(p, **o).collect()}
+    assert rank(max_rows=10) == rank() and len(rank()) == 3000
+
+
 def test_recommendations(spark):
     s = spark.createDataFrame(
         [(1, "a", 0.4, 6), (2, "b", 0.4, 5), (3, "c", 0.5, 9), (4, "d", 0.1, 9), (5, "e", None, 9)],
