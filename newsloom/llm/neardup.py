@@ -180,8 +180,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     joined = connected_components(over.select(F.col("ga").alias("id_a"), F.col("gb").alias("id_b"))).select(
         F.col("id").alias("group"), F.col("group").alias("to"))
-    ends = over.select(F.explode(F.array(F.struct("a", "ga"), F.struct("b", "gb"))).alias("x")).select(
-        F.col("x.a").alias("id"), F.col("x.ga").alias("group"))
+    ends = over.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), F.col("ga").alias("group")),
+        F.struct(F.col("b").alias("id"), F.col("gb").alias("group")))).alias("x")).select("x.*")
     known = labels.unionByName(ends).distinct()
     return saved(known.join(joined, "group", "left").select("id", F.coalesce("to", "group").alias("group")))
 
