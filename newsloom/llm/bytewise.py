@@ -31,7 +31,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i (mod 2**64) for i below n."""
     if len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, 2 * len(_powers["up"]))
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

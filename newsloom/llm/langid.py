@@ -24,17 +24,14 @@ from newsloom.llm.work import saved
 BITS, SHARDS, ROUNDS = 16, 4, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
+LAST_LETTER = 0x33479  # of Unicode 17; behind it are marks, tags and private use
 _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
     """Which code points are letters; made once per process."""
     if "letters" not in _tables:
-        chars = np.arange(0x110000)
-        letters = np.zeros(0x110000, bool)
-        ok = (chars < 0xD800) | (chars > 0xDFFF)
-        letters[ok] = [chr(c).isalpha() for c in chars[ok].tolist()]
-        _tables["letters"] = letters
+        _tables["letters"] = np.array([chr(c).isalpha() for c in range(LAST_LETTER + 1)] + [False])
     return _tables["letters"]
 
 
@@ -43,7 +40,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(points, 0x10FFFF)]
+    letter = _letters()[np.minimum(points, LAST_LETTER + 1)]
     if not letter.any():
         return None
     points = np.where(letter, points, np.uint32(32))
@@ -192,7 +189,10 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def _logits_of(rows: DataFrame, model: Model) -> DataFrame:
+    parts = (model.classes, model.idf, model.weights, model.bias, model.temperature)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*parts)
         for batch in batches:
             out = [model.logits(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -209,10 +209,11 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     """
     keep = keep or ["doc_id"]
     types = dict(documents.dtypes)
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS x classes numbers
+    parts = (model.classes, model.idf, model.weights, model.bias, model.temperature)
+    sent = documents.sparkSession.sparkContext.broadcast(parts)  # 2**BITS x (classes + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = Model(*sent.value)
         for batch in batches:
             lang, score = [], []
             for text in batch.column(len(keep)):

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm import pagemodel, qualitytrees
 from newsloom.llm.decontaminate import leaks
+from newsloom.llm.labelledpages import labelled_pages
 from newsloom.llm.langid import predict, train
+from newsloom.llm.licences import COPYRIGHT, PUNCTUATION, SPELLINGS, known, known_texts, licence_hits
 from newsloom.llm.linededup import repeated_lines
 from newsloom.llm.mixing import mixed
 from newsloom.llm.neardup import near_duplicates
+from newsloom.llm.sketches import fingerprints
+from newsloom.llm.urlrules import judge
 from newsloom.llm.work import crc_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +48,127 @@ def op1(spark, sf_dir):
     return predict(docs, model).select("doc_id", (crc_part(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@case("op2_html_main_text")
+def op2(spark, sf_dir):
+    model = pagemodel.train(labelled_pages())
+    return pagemodel.extract(pages(spark, sf_dir), model, keep=["page_id", "url"])
+
+
+# Fixed: the rules that the query judges by.
+RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
+
+
+def _rules_sql() -> str:
+    """The longest rule first."""
+    cases = []
+    for rule, allow in sorted(RULES, key=lambda r: -len(r[0])):
+        host, _, path = rule.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{rule}'")
+    return "CASE " + "\n        ".join(cases) + " END"
+
+
+@case("op3_url_rules", rf"""
+WITH parts AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages
+),
+ruled AS (
+    SELECT *, {_rules_sql()} AS rule
+    FROM parts
+)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ({", ".join(f"'{r}'" for r, allow in RULES if not allow)}) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""")
+def op3(spark, sf_dir):
+    return judge(pages(spark, sf_dir), RULES, keep=["page_id"])
+
+
+def _canonical_sql(text: str) -> str:
+    lower = f"translate(regexp_replace({text}, '{COPYRIGHT}', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"' ' || regexp_replace({lower}, '{PUNCTUATION}', ' ', 'g') || ' '"
+    for other, one in SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {one} ')"
+    return f"md5(trim({out}))"
+
+
+def _licences_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in known_texts())
+    return rf"""
+WITH known_raw(licence, t) AS (VALUES {rows}),
+known AS (SELECT {_canonical_sql("t")} AS digest, min(licence) AS licence FROM known_raw GROUP BY 1),
+units AS (
+    SELECT doc_id, 'text' AS scope, 0 AS r, coalesce(text, '') AS t FROM documents
+    UNION ALL
+    SELECT doc_id, 'paragraph', 1, unnest(p) FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '
+[ 	]*
+') AS p FROM documents) WHERE len(p) > 1
+    UNION ALL
+    SELECT doc_id, 'line', 2, unnest(l) FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) WHERE len(l) > 1
+),
+found AS (SELECT u.doc_id, k.licence, u.scope, u.r FROM (SELECT *, {_canonical_sql("t")} AS digest FROM units) u JOIN known k USING (digest))
+SELECT doc_id, licence, arg_min(scope, r) AS scope, count(*) AS n_units FROM found GROUP BY doc_id, licence
+"""
+
+
+@case("op4_licence_scan", _licences_sql())
+def op4(spark, sf_dir):
+    return licence_hits(documents(spark, sf_dir), known(spark))
+
+
+@case("op5_benchmark_decontamination")
+def op5(spark, sf_dir):
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@case("op6_source_mixture")
+def op6(spark, sf_dir):
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
+
+
+@case("op7_fingerprints", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+ordered AS (
+    SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d
+    WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+),
+texts AS (
+    SELECT doc_id, n, text, next_text, substring(text, 1, n - n // 4) || substring(next_text, 1, n // 4) AS edited FROM ordered
+),
+parts AS (
+    SELECT doc_id, 1 AS part, text AS t FROM texts
+    UNION ALL SELECT doc_id, 2, edited FROM texts
+    UNION ALL SELECT doc_id, 3, next_text FROM texts
+),
+words AS (SELECT doc_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM parts),
+hashes AS (
+    SELECT doc_id, part, list_transform(
+        CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END,
+        lambda s: substring(md5(s), 1, 16)) AS h
+    FROM words
+),
+low AS (SELECT doc_id, part, list_sort(list_distinct(list_filter(h, lambda x: x < '2'))) AS k, h FROM hashes),
+sketches AS (
+    SELECT doc_id, part, CASE WHEN len(k) = 0 AND len(h) > 0 THEN [list_min(h)] ELSE k END AS s FROM low
+),
+sides AS (
+    SELECT t.doc_id, t.n, sha256(t.edited) AS edited_sha256, a.s AS a, b.s AS b, c.s AS c
+    FROM texts t JOIN sketches a ON a.doc_id = t.doc_id AND a.part = 1
+    JOIN sketches b ON b.doc_id = t.doc_id AND b.part = 2 JOIN sketches c ON c.doc_id = t.doc_id AND c.part = 3
+)
+SELECT doc_id, n AS n_chars, edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    CASE WHEN len(a) + len(b) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 1.0 END AS near_edited,
+    CASE WHEN len(a) + len(c) > 0 THEN len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) ELSE 1.0 END AS near_next
+FROM sides
+""")
+def op7(spark, sf_dir):
+    return fingerprints(documents(spark, sf_dir))
+
+
 @case("op8_minhash_near_dedup", r"""
 WITH RECURSIVE
 words AS (
@@ -82,6 +208,14 @@ def op8(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), words=4, percent=80)
 
 
+@case("op9_quality_trees")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_part(3) != 1)
+    return qualitytrees.score(docs, qualitytrees.train(docs, labels)).select(
+        "doc_id", (crc_part(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @case("op10_line_dedup", r"""
 WITH lines AS (
     SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -103,13 +237,3 @@ FROM marked GROUP BY doc_id
 """)
 def op10(spark, sf_dir):
     return repeated_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
-
-
-@case("op5_benchmark_decontamination")
-def op5(spark, sf_dir):
-    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-@case("op6_source_mixture")
-def op6(spark, sf_dir):
-    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
