@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.decontaminate import leaks
@@ -22,19 +22,38 @@ from newsloom.llm.work import checked_join, crc_part, saved, shared_folder
 MIN_LANGUAGE_SCORE = 0.3  # a guess among the languages of `documents` would have 0.25
 
 
+def _set_apart(docs: DataFrame) -> DataFrame:
+    """All columns but doc_id and text under names that no operator uses."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_column_{i}") for i, c in _others(docs)])
+
+
+def _back(docs: DataFrame, *put: tuple[str, Column]) -> list[Column]:
+    """The columns of `docs` again, those named in `put` with new values."""
+    new = dict(put)
+    names = {c: f"_column_{i}" for i, c in _others(docs)}
+    return [new.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns]
+
+
+def _others(docs: DataFrame) -> list[tuple[int, str]]:
+    return [(i, c) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters, or that no language fits, go."""
     model = train(docs.where(crc_part(5) != 0))
-    judged = predict(docs, model, [*docs.columns])
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    rows = _set_apart(docs)
+    judged = predict(rows, model, rows.columns)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*_back(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines, n_chars to match. A document that loses every line stays, empty."""
-    kept = repeated_lines(docs, keep=docs.columns).withColumn("text", F.col("kept"))
+    rows = _set_apart(docs)
+    kept = repeated_lines(rows, keep=[c for c in rows.columns if c != "text"])
+    put = [("text", F.col("kept"))]
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("kept").cast(dict(docs.dtypes)["n_chars"]))
-    return kept.select(*docs.columns)
+        put.append(("n_chars", F.char_length("kept").cast(dict(docs.dtypes)["n_chars"])))
+    return kept.select(*_back(docs, *put))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

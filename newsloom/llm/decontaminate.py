@@ -97,20 +97,15 @@ def templates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tokens, slots, first
 
 
-def _windows(data, at, width: int):
-    """(window hashes, first window of each row, tokens, slots, first token of each row)."""
-    tokens, slots, first = templates(data, at)
-    hashes, begin = B.sequence_hashes(tokens, first, width)
-    return hashes, begin, tokens, slots, first
-
-
 def _benchmark(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("item_id")
             for row, _, data, at in B.chunks(batch.column("text"), 1):  # a row at a time
-                hashes, _, tokens, slots, _ = _windows(data, at, width)
-                n, k = len(hashes), min(width, len(tokens))
+                tokens, slots, first = templates(data, at)
+                k = min(width, len(tokens))  # a shorter item is one window
+                hashes, _ = B.sequence_hashes(tokens, first, k)
+                n = len(hashes)
                 plain = [int((slots[i : i + k] == 0).sum()) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, 1).take(pa.array(np.zeros(n, np.int64))).cast(pa.int64()), pa.array(np.arange(n)),

@@ -7,6 +7,8 @@ is looked up are entire texts: the document, its paragraphs (divided by empty li
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 COPYRIGHT = r"(?im)^[\x20\x09]*(copyright|\(c\)|©)[^\x0A]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-VOID = F.md5(F.lit(""))
+NOTHING = hashlib.md5(b"").hexdigest()
 
 
 def canonical(text: Column) -> Column:
@@ -111,7 +113,7 @@ def canonical(text: Column) -> Column:
 def known(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """`digest, licence` of known texts; of two licences with one text the first by name."""
     rows = spark.createDataFrame(texts if texts is not None else known_texts(), "licence string, text string")
-    return rows.select("licence", F.md5(canonical(F.col("text"))).alias("digest")).where(F.col("digest") != VOID).groupBy(
+    return rows.select("licence", F.md5(canonical(F.col("text"))).alias("digest")).where(F.col("digest") != NOTHING).groupBy(
         "digest").agg(F.min("licence").alias("licence"))
 
 

@@ -95,8 +95,8 @@ def _solved(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
             .withColumn("next", F.when((F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high")), step)
                         .otherwise((F.col("low") + F.col("high")) / 2)))
         settled = F.col("done") | F.col("hit") | (F.col("next") == F.col("l"))
-        state = saved(moved.withColumn("l", F.when(settled, F.col("l")).otherwise(F.col("next")))
-                      .withColumn("done", settled).select(*state.columns))
+        state = saved(moved.withColumn("done", settled).withColumn("l", F.when(F.col("done"), F.col("l")).otherwise(F.col("next")))
+                      .select(*state.columns))
     return state.select("source", "source_size", "target", "scale", "all", "l")
 
 
@@ -141,15 +141,18 @@ def mixed(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share
 
 
 def mixture(documents: DataFrame, **settings) -> DataFrame:
-    """The mix itself: rows of `documents` as often as they are taken, with `copy` counting from 1.
+    """The mix itself: rows of `documents` as often as they are taken, with `copy` (or the first free name of
+    copy_1, copy_2, ...) counting from 1.
 
     Settings as in `mixed`. Rows are found again by doc_id, source and text size; of rows that are equal in
     these each is taken as often as the first of them.
     """
     taken = saved(mixed(documents, **settings).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
-    keys = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    keys = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     rows = documents.withColumn("_words", word_count())
     same = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
             & (F.col("_words") == F.col("_size")))
+    names = ["copy", *(f"copy_{i}" for i in range(1, len(documents.columns) + 1))]
+    free = next(n for n in names if n not in documents.columns)
     return checked_join(rows, keys, same, max_rows=200_000).select(
-        *[F.col(c) for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        *[F.col(c) for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(free))

@@ -8,14 +8,15 @@
    with the longest common prefix, so the depth adapts to how crowded the region is. Neighbours
    up to `REACH` places apart are candidates unless their one-bit minima rule them out
    (at 0.8 one misses by chance with probability below 1e-9).
-3. Candidates are confirmed on the full sets: first direct neighbours, whose links give
-   components; then those further apart that still lie in different components.
-4. Regions wider than `REACH` that still hold several components go through an exact prefix
-   filter on their rarest shingles, so that a crowded region loses no link.
+3. In regions wider than `REACH` every member is also a candidate with the region's hub, the
+   document with the most candidates.
+4. Candidates are confirmed on the full sets: first direct neighbours, whose links give
+   components; then all others that still lie in different components.
 
 A pair at the threshold of 0.8 shares no region of any tree with probability
 (1 - 0.8**3)**24 = 3e-8. Nothing grows with the square of a group: copies are one row, and near
-copies give at most REACH candidates per document and tree.
+copies give at most REACH + 1 candidates per document and tree. A family of more than REACH near
+copies is tied together by the neighbours and hubs of 24 orders; it is not enumerated pair by pair.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import bytewise as B
@@ -122,31 +122,63 @@ def _sets(k: int):
     return run
 
 
-def _alike(a: str, b: str):
-    """True unless sizes or one-bit minima rule a likeness of `percent` out."""
+def _alike(a: str, b: str, percent: int) -> Column:
+    """False where sizes or one-bit minima rule out that two documents are that alike."""
     differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(
         F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
-    return differ <= MAX_DIFFERENT
+    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    return sizes & (differ <= MAX_DIFFERENT)
+
+
+def _neighbours(percent: int, reach: int):
+    """Pairs at most `reach` rows apart in one region; the rows come in order of region and place."""
+    columns = ["region", "id", "n", "b1", "b2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((5, 0), np.int64)  # the rows before this batch
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            rows = np.concatenate([last, new], axis=1)
+            begin = last.shape[1]
+            out = []
+            for gap in range(1, reach + 1):
+                y = np.arange(max(begin, gap), rows.shape[1])
+                y = y[rows[0, y] == rows[0, y - gap]]
+                x = y - gap
+                small, large = np.minimum(rows[2, x], rows[2, y]), np.maximum(rows[2, x], rows[2, y])
+                bits = np.bitwise_count((rows[3:, x] ^ rows[3:, y]).view(np.uint64))
+                differ = bits[0].astype(np.int64) + bits[1]
+                alike = (small * 100 >= large * percent) & (differ <= MAX_DIFFERENT) & (rows[1, x] != rows[1, y])
+                use = alike | (gap == reach)  # those `reach` apart tell crowded regions
+                x, y = x[use], y[use]
+                out.append([rows[0, x], np.minimum(rows[1, x], rows[1, y]), np.maximum(rows[1, x], rows[1, y]),
+                            np.full(len(x), gap), alike[use]])
+            last = rows[:, -reach:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["region", "a", "b", "gap", "alike"])
+
+    return run
 
 
 def _candidates(rows: DataFrame, percent: int, reach: int) -> DataFrame:
-    """`region, a, b, gap, alike`: documents at most `reach` places apart in a region.
+    """`region, a, b, gap, alike` of neighbours in the signature orders.
 
-    Pairs that cannot be alike are left out, but for those `reach` apart: they tell crowded regions.
+    One sort by ranges over all orders, so that a region of any size is spread over tasks. Where a range ends inside a
+    region, the pairs across that place are not seen in this order; the other orders have them.
     """
-    order = W.partitionBy("region").orderBy("place", "id")
-    row = F.struct("id", "n", "b1", "b2")
-    seen = rows.select("region", row.alias("x"), *[F.lag(row, j).over(order).alias(f"y{j}") for j in range(1, reach + 1)])
-    close = F.filter(
-        F.array(*[F.struct(F.lit(j).alias("gap"), F.col(f"y{j}").alias("y")) for j in range(1, reach + 1)]),
-        lambda p: p["y"].isNotNull())
-    pairs = seen.where("y1 is not null").select("region", "x", F.explode(close).alias("p")).select(
-        "region", "x", F.col("p.gap").alias("gap"), F.col("p.y").alias("y"))
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    alike = (small * 100 >= large * percent) & _alike("x", "y") & (F.col("x.id") != F.col("y.id"))
-    return pairs.select(
-        "region", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "gap", alike.alias("alike")
-    ).where(F.col("alike") | (F.col("gap") == reach))
+    ordered = rows.repartitionByRange("region", "place", "id").sortWithinPartitions("region", "place", "id")
+    return ordered.select("region", "id", "n", "b1", "b2").mapInArrow(
+        _neighbours(percent, reach), "region bigint, a bigint, b bigint, gap bigint, alike boolean")
+
+
+def _with_hubs(rows: DataFrame, crowded: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """`a, b`: the members of crowded regions with the one that has the most candidates in all orders."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    members = checked_join(rows, crowded, "region", "left_semi").select("region", F.struct("id", "n", "b1", "b2").alias("x"))
+    known = checked_join(members, saved(degree), F.col("x.id") == F.col("id"))
+    hubs = known.groupBy("region").agg(F.max(F.struct("degree", "x"))["x"].alias("y"))
+    both = members.join(hubs, "region").where((F.col("x.id") != F.col("y.id")) & _alike("x", "y", percent))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,43 +219,6 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(known.join(joined, "group", "left").select("id", F.coalesce("to", "group").alias("group")))
 
 
-def _rest(
-    texts: DataFrame, rows: DataFrame, crowded: DataFrame, labels: DataFrame, words: int, percent: int
-) -> DataFrame | None:
-    """Links inside crowded regions between different components: exact, by a prefix filter.
-
-    A pair at the threshold shares one of the `n - ceil(n * percent / 100) + 1` rarest shingles of
-    either side. Only documents of crowded regions that hold several components take part, and only
-    pairs across components are looked at.
-    """
-    member = checked_join(rows, crowded, "region", "left_semi").join(labels, "id", "left").withColumn(
-        "group", F.coalesce("group", "id"))
-    mixed = (
-        member.groupBy("region").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-        .where("lo <> hi").select("region")
-    )
-    docs = saved(
-        member.join(mixed, "region", "left_semi").groupBy("id")
-        .agg(*[F.first(c).alias(c) for c in ("group", "n", "b1", "b2")]))
-    if docs.isEmpty():
-        return None
-    ids = docs.select(F.col("id").alias("doc_id"))
-    sets = saved(checked_join(texts, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"))
-    each = sets.select("id", F.explode("shingles").alias("s"))
-    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(counts, "s", "left").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
-    keep = F.size("all") - F.ceil(F.size("all") * percent / F.lit(100)) + 1
-    prefix = ranked.select("id", F.explode(F.slice("all", F.lit(1), keep.cast("int"))).alias("t")).where("t.df > 1")
-    rare = saved(prefix.select("id", F.col("t.s").alias("s")).join(docs, "id"))
-    both = rare.alias("x").join(
-        rare.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.group") != F.col("y.group")) & _alike("x", "y")
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-    pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _confirmed(pairs, sets, percent)
-
-
 def near_duplicates(
     documents: DataFrame, *, words: int = 5, percent: int = 80, reach: int = REACH
 ) -> DataFrame:
@@ -244,8 +239,10 @@ def near_duplicates(
     rows = same.select("rep.*").mapInArrow(
         _trees, "region bigint, place bigint, id bigint, n bigint, b1 bigint, b2 bigint")
     found = saved(_candidates(rows, percent, reach))
-    pairs = saved(found.where("alike").groupBy("a", "b").agg(F.min("gap").alias("gap")))
+    close = saved(found.where("alike").groupBy("a", "b").agg(F.min("gap").alias("gap")))
     crowded = saved(found.where(F.col("gap") == reach).select("region").distinct())
+    hubs = _with_hubs(rows, crowded, close, percent).withColumn("gap", F.lit(reach + 1).cast("bigint"))
+    pairs = saved(close.unionByName(hubs).groupBy("a", "b").agg(F.min("gap").alias("gap")))
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = saved(
         checked_join(texts, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"))
@@ -253,9 +250,6 @@ def near_duplicates(
     further = saved(_renamed(pairs.where("gap > 1"), labels))
     if not further.isEmpty():
         labels = _merged(labels, _confirmed(further, sets, percent))
-    if not crowded.isEmpty():
-        rest = _rest(texts, rows, crowded, labels, words, percent)
-        labels = labels if rest is None else _merged(labels, rest)
     labels = labels.select(F.col("id").alias("rep"), "group")
     named = same.select("d1", "d2", F.col("rep.doc_id").alias("rep")).join(labels, "rep", "left").select(
         "d1", "d2", F.coalesce("group", "rep").alias("group"))
