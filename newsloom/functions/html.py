@@ -3,12 +3,13 @@
 One small Arrow-batched function turns a page into its visible text and its
 elements; everything else (selectors, blocks, discovery) is done by Spark on those
 two columns. Elements are in document order; `start` and `stop` mark an element's
-text inside the page text, `last` is its last descendant and `path` its ancestors.
+text inside the page text, `last` is its last descendant, `depth` the number of its ancestors.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,12 +23,12 @@ from newsloom.functions.text import col, strip
 # The parser travels with the tasks: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-INTS, STRINGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+STRINGS = T.ArrayType(T.StringType())
 NODE = T.StructType([
     T.StructField("no", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
     T.StructField("last", T.IntegerType()),
-    T.StructField("path", INTS),
+    T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("id", T.StringType()),
     T.StructField("classes", STRINGS),
@@ -48,17 +49,19 @@ class _Elements(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open, self.text, self.length = [], [], [], 0
+        self.opened = Counter()  # open elements by tag
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         parent = self.open[-1] if self.open else -1
         self.nodes.append({
-            "no": len(self.nodes), "parent": parent, "last": len(self.nodes), "path": list(self.open),
+            "no": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open),
             "tag": tag, "id": a.get("id") or None, "classes": (a.get("class") or "").split(),
             "href": (a["href"] or "") if "href" in a else None, "start": self.length, "stop": self.length,
         })
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -67,10 +70,11 @@ class _Elements(HTMLParser):
 
     def _close(self):
         node = self.nodes[self.open.pop()]
+        self.opened[node["tag"]] -= 1
         node["last"], node["stop"] = len(self.nodes) - 1, self.length
 
     def handle_endtag(self, tag):
-        if any(self.nodes[i]["tag"] == tag for i in self.open):
+        if self.opened[tag]:
             while self.nodes[self.open[-1]]["tag"] != tag:
                 self._close()
             self._close()
@@ -98,19 +102,24 @@ def parse_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parse(h) for h in html], columns=["text", "nodes"])
 
 
+# a tag or *, with classes and an id
+PLAIN_STEP = r"(?:(?:\*|[A-Za-z][A-Za-z0-9-]*)(?:[.#][^.#\s>+~,:*()\[\]]+)*|(?:[.#][^.#\s>+~,:*()\[\]]+)+)"
+
+
 def selector_steps(selector_type: str, selector: str) -> Column:
     """Selector text as steps (tag, id, classes), outermost first; arguments are SQL.
 
-    CSS: tag, `.class`, `#id`, their combinations and descendants. Of an xpath only
-    the last step counts, as a tag. Other kinds give null and match nothing.
+    CSS: tag, `*`, `.class`, `#id`, their combinations and descendants. Of an xpath only
+    the last step counts, as a tag. Any other syntax (lists, `>`, attributes, pseudo-classes)
+    and other kinds give null and match nothing.
     """
     none = "CAST(array() AS array<string>)"
     return F.expr(rf"""
         CASE {selector_type}
-        WHEN 'css' THEN transform(split(trim({selector}), r'\s+'), part -> struct(
-            lower(regexp_extract(part, r'^([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
+        WHEN 'css' THEN CASE WHEN trim({selector}) RLIKE r'^{PLAIN_STEP}(\s+{PLAIN_STEP})*$' THEN transform(split(trim({selector}), r'\s+'), part -> struct(
+            lower(regexp_extract(part, r'^(\*|[A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
             regexp_extract(part, r'#([^.#\s]+)', 1) AS id,
-            regexp_extract_all(part, r'\.([^.#\s]+)', 1) AS classes))
+            regexp_extract_all(part, r'\.([^.#\s]+)', 1) AS classes)) END
         WHEN 'xpath' THEN array(struct(element_at(split(trim({selector}), '/'), -1) AS tag, '' AS id, {none} AS classes))
         END""")
 
@@ -122,7 +131,7 @@ def xpath_tag(selector: Column | str) -> Column:
 def _fits(node: str, step: str) -> str:
     """SQL test of an element against one step."""
     return f"""(({step}.tag <> '' OR {step}.id <> '' OR size({step}.classes) > 0)
-        AND ({step}.tag = '' OR {step}.tag = {node}.tag)
+        AND ({step}.tag IN ('', '*') OR {step}.tag = {node}.tag)
         AND ({step}.id = '' OR coalesce({step}.id = {node}.id, false))
         AND (size({step}.classes) = 0 OR size(array_except({step}.classes, {node}.classes)) = 0))"""
 
@@ -134,11 +143,14 @@ def matching(steps: str, block: str | None = None, nodes: str = "nodes") -> Colu
     from the parent, each ancestor may use up the next outer step.
     """
     scope = f"n.no > {block}.no AND n.no <= {block}.last AND" if block else ""
-    outer = f"get({steps}, todo - 1)"
+    outer = f"get({steps}, s.todo - 1)"
     return F.expr(f"""
         CASE WHEN {steps} IS NOT NULL THEN filter({nodes}, n -> {scope} {_fits('n', f'element_at({steps}, -1)')}
-            AND (size({steps}) = 1 OR 0 = aggregate(reverse(n.path), size({steps}) - 1,
-                (todo, up) -> CASE WHEN todo > 0 AND {_fits(f'get({nodes}, up)', outer)} THEN todo - 1 ELSE todo END)))
+            AND (size({steps}) = 1 OR (n.depth > 0 AND 0 = aggregate(sequence(1, greatest(n.depth, 1)),
+                struct(size({steps}) - 1 AS todo, n.parent AS up),
+                (s, i) -> struct(CASE WHEN s.todo > 0 AND {_fits(f'get({nodes}, s.up)', outer)} THEN s.todo - 1 ELSE s.todo END AS todo,
+                                 get({nodes}, s.up).parent AS up),
+                s -> s.todo))))
         END""")
 
 

@@ -27,6 +27,16 @@ def path(url: Column | str) -> Column:
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
+def same_escapes(p: Column | str) -> Column:
+    """A path with the digits of its percent-escapes in capitals."""
+    parts = F.split(col(p), "%")
+    upper = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        lambda x: F.when(F.rlike(x, F.lit("^[0-9a-fA-F]{2}")), F.concat(F.upper(F.substring(x, 1, 2)), F.substr(x, F.lit(3)))).otherwise(x),
+    )
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.lit(1)), upper), "%")
+
+
 def site_base(url: Column | str) -> Column:
     return F.concat(scheme(url), F.lit("://"), host(url))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.scale import lookup_join
-from newsloom.functions.urls import host, path
+from newsloom.functions.urls import host, path, same_escapes
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -15,10 +15,11 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
     Agents named on consecutive lines share the rules after them; a blank line ends a
     group. Only files answered with status 200 count. Windows run over one file each.
+    Hosts are in lower case, percent-escapes of paths in capitals.
     """
     lines = (
         robots.where("status = 200")
-        .select("host", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line"))
+        .select(F.lower("host").alias("host"), F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line"))
         .withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
         .withColumn("key", F.lower(F.trim(F.substring_index("line", ":", 1))))
         .withColumn("value", F.trim(F.regexp_replace("line", "^[^:]*:?", "")))
@@ -43,7 +44,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
         F.col("line_no").alias("rule_no"),
         # an empty Disallow forbids nothing
         ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"),
-        F.col("value").alias("path"),
+        same_escapes("value").alias("path"),
     )
     return agents.join(rules, ["host", "group_no"]).select(
         "host", "group_no", "agent", "rule_no", "allow", "path"
@@ -61,13 +62,18 @@ def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, *, agent: str = "Mozilla", **limits) -> DataFrame:
-    """`urls` (id, url) with `allowed`: the first rule that fits the path decides, default yes."""
-    mine = rules_for_agent(rules, agent)
-    tagged = urls.select("id", "url", host("url").alias("host"), path("url").alias("url_path"))
-    fits = (F.col("path") == "*") | F.startswith(F.col("url_path"), F.col("path"))
+    """`urls` (id, url) with `allowed`: the first rule that fits the path decides, default yes.
+
+    The rules of a host, bounded by its file, are one sorted array: a url meets one row.
+    """
+    mine = rules_for_agent(rules, agent).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("rule_no", "allow", "path"))).alias("rules"))
+    tagged = urls.select(
+        "id", "url", F.lower(host("url")).alias("host"), same_escapes(path("url")).alias("url_path"))
     joined = lookup_join(tagged, mine, ["host"], "left", spread=["id"], **limits)
-    verdict = F.min_by("allow", F.when(fits, F.col("rule_no")))
-    return joined.groupBy("id", "url").agg(F.coalesce(verdict, F.lit(True)).alias("allowed"))
+    fitting = F.filter(
+        "rules", lambda r: (r["path"] == "*") | F.startswith(F.col("url_path"), r["path"]))
+    return joined.select("id", "url", F.coalesce(F.get(fitting, F.lit(0))["allow"], F.lit(True)).alias("allowed"))
 
 
 def robots_refresh_summary(sources: DataFrame, robots: DataFrame, *, agent: str = "Mozilla", **limits) -> DataFrame:
@@ -76,9 +82,9 @@ def robots_refresh_summary(sources: DataFrame, robots: DataFrame, *, agent: str
     `robots` has `host, status, body`; a host without a row, or without a status, gave no answer.
     """
     allowed = robots_allowed(sources.select("id", "url"), robots_rules(robots), agent=agent, **limits)
-    answers = robots.select("host", "status").where("status is not null")
+    answers = robots.select(F.lower("host").alias("host"), "status").where("status is not null")
     rows = lookup_join(
-        allowed.withColumn("host", host("url")), answers, ["host"], "left", spread=["id"], **limits
+        allowed.withColumn("host", F.lower(host("url"))), answers, ["host"], "left", spread=["id"], **limits
     )
     return rows.agg(
         F.count("status").alias("updated"),

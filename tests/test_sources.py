@@ -304,3 +304,27 @@ def test_stream_of_trials_equals_batch(spark, sf, tmp_path):
     drain(q)
     want = {tuple(r[:4]): (r.success_count, r.fail_count, round(r.score, 9)) for r in selectors.selector_scores(t).select(*selectors.KEY, "success_count", "fail_count", "score").collect()}
     assert seen == want
+
+
+def test_selectors_that_are_not_understood_match_nothing(spark):
+    from newsloom.functions import html
+
+    page = "<div class='a'><p id='x'>one</p><p class='b'>two</p></div><h1>t</h1><a rel='me' href='/'>l</a>"
+    cases = {
+        "p": 2, "*": 5, "div p": 2, "div.a *": 2, "p.b": 1, "#x": 1, ".a .b": 1, "*.b": 1, "h1": 1,
+        "a[rel]": None, "p:nth-of-type(2)": None, "h1, h2": None, "div > p": None, "p + p": None, "": None, "p.": None,
+    }
+    rows = spark.createDataFrame([(page, s) for s in cases], "html string, selector string")
+    rows = rows.select("selector", html.parse_page("html").alias("p")).select(
+        "selector", "p.nodes", html.selector_steps("'css'", "selector").alias("steps"))
+    got = {r["selector"]: r["n"] if r["n"] is None or r["n"] >= 0 else None
+           for r in rows.selectExpr("selector", "nodes", "steps").select("selector", F.size(html.matching("steps")).alias("n")).collect()}
+    assert got == cases
+
+
+def test_unclosed_paragraphs_stay_linear(spark):
+    from newsloom.functions import html
+
+    rows = spark.createDataFrame([("<div>" + "<p>x</b>" * 50_000,)], "html string").select(html.parse_page("html").alias("p"))
+    row = rows.select(F.size("p.nodes").alias("n"), F.length("p.text").alias("chars"), F.element_at("p.nodes", -1)["depth"].alias("d")).first()
+    assert tuple(row) == (50_001, 50_000, 50_000)

@@ -240,15 +240,10 @@ def keyword_table_hits(spark, sf):
     ctes("content") + "SELECT category, count(*) AS articles FROM content WHERE category IN ('de', 'es') GROUP BY category",
 )
 def category_counts(spark, sf):
-    rows = inputs.content(spark, sf).where(listing.has_category(tx_list(tx.comma_list(F.lit("de,es")), spark)))
+    rows = inputs.content(spark, sf).where(F.arrays_overlap("categories", tx.comma_list(F.lit("de,es"))))
     return rows.groupBy(F.get("categories", F.lit(0)).alias("category")).agg(F.count(F.lit(1)).alias("articles"))
 
 
-def tx_list(column, spark) -> list[str]:
-    """Value of a constant list expression."""
-    return spark.range(1).select(column.alias("v")).first()["v"]
-
-
 @case(
     "long_enough_for_nlp",
     ctes("content") + "SELECT id, length(content) AS chars FROM content WHERE content IS NOT NULL AND content <> '' AND length(content) >= 100",
@@ -485,6 +480,15 @@ def tfidf_top_terms(spark, sf):
     return top.select("id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
+@case(
+    "tfidf_weights",
+    ctes("content") + terms_sql("content") + "SELECT id, term, tf, df, round(weight, 6) AS weight FROM content_w",
+)
+def tfidf_weights(spark, sf):
+    weights = tfidf.tfidf(inputs.content(spark, sf), stop_words=STOP_WORDS)
+    return weights.select("id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
+
+
 @case(
     "tfidf_vocabulary",
     ctes("content") + terms_sql("content") + "SELECT term, df, round(ln((1 + (SELECT count(*) FROM content)) / (1 + df)) + 1, 6) AS idf FROM content_v",
@@ -568,6 +572,31 @@ def near_duplicate_pairs(spark, sf):
     return similarity.near_duplicates(inputs.content(spark, sf), use_min_hash=False, stop_words=STOP_WORDS)
 
 
+UNDATED = "id % 4 = 1"  # articles of the next query that lose their date
+
+
+@case(
+    "near_duplicate_pairs_undated",
+    ctes("content") + VECTORS + ",\n    dated AS (SELECT id, CASE WHEN NOT (" + UNDATED + """) THEN published END AS published FROM content)
+    SELECT a.id AS id_a, b.id AS id_b, round(sum(a.w * b.w), 6) AS similarity
+    FROM vectors a JOIN vectors b ON a.term = b.term AND a.id < b.id
+    JOIN dated x ON x.id = a.id JOIN dated y ON y.id = b.id
+    WHERE x.published IS NULL AND y.published IS NULL
+    GROUP BY a.id, b.id HAVING round(sum(a.w * b.w), 6) >= 0.75""",
+)
+def near_duplicate_pairs_undated(spark, sf):
+    """Links of the articles without a date: representatives' pairs, and members with their representative."""
+    rows = inputs.content(spark, sf).withColumn("published", F.when(~F.expr(UNDATED), F.col("published")))
+    reps = cut_lineage(similarity.representatives(rows, stop_words=STOP_WORDS).join(
+        rows.select("id", F.col("published").isNull().alias("undated")), "id"))
+    pairs = similarity.near_duplicates(rows, reps.drop("undated"), stop_words=STOP_WORDS)
+    own = reps.where("undated")
+    one, two = own.select(F.col("id").alias("x"), F.col("rep_id").alias("id_a")), own.select(F.col("id").alias("y"), F.col("rep_id").alias("id_b"))
+    across = pairs.join(one, "id_a").join(two, "id_b").select("x", "y", "similarity")
+    same = one.join(two, F.col("id_a") == F.col("id_b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
 @case("near_duplicate_pairs_min_hash")
 def near_duplicate_pairs_min_hash(spark, sf):
     return similarity.near_duplicates(inputs.content(spark, sf), use_min_hash=True, stop_words=STOP_WORDS)

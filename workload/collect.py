@@ -12,7 +12,7 @@ from newsloom.functions.scale import cut_lineage
 from newsloom.operators import extraction, health, quality, robots, selectors, tables, training
 from newsloom.sources import config, feeds
 from workload import inputs
-from workload.articles import AS_OF, quality_sql, ts
+from workload.articles import AS_OF, quality_sql, terms_sql, ts
 from workload.catalog import case
 from workload.inputs import ctes
 
@@ -155,10 +155,10 @@ def source_health_details(spark, sf):
     "sources_by_success_rate",
     ctes("rates", "health_sources") + """
     SELECT s.id, round(r.success_rate, 6) AS success_rate FROM health_sources s JOIN rates r ON r.source_id = s.id
-    ORDER BY r.success_rate, s.id LIMIT 20""",
+    ORDER BY r.success_rate, s.id""",
 )
 def sources_by_success_rate(spark, sf):
-    worst = health.by_success_rate(rated_sources(spark, sf)).limit(20)
+    worst = health.by_success_rate(rated_sources(spark, sf))
     return worst.select("id", F.round("success_rate", 6).alias("success_rate"))
 
 
@@ -366,7 +366,8 @@ def sources_stamped(spark, sf):
     "append_training_samples",
     ctes("content") + """
     SELECT source_id, count(*) AS samples, max(length(html)) AS longest_page
-    FROM (SELECT source_id, substr(content || content, 1, 50000) AS html, published, id FROM content WHERE content <> '' AND title <> '')
+    FROM (SELECT source_id, substr(content || content, 1, 50000) AS html FROM content WHERE content <> '' AND title <> ''
+          QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY substr(md5(url), 1, 3) DESC, url DESC) <= 20)
     GROUP BY source_id""",
 )
 def append_training_samples(spark, sf):
@@ -377,7 +378,7 @@ def append_training_samples(spark, sf):
         F.col("title").alias("article_title"),
         F.lit(None).cast(inputs.training_data(spark, sf).schema["successful_selectors"].dataType).alias("successful_selectors"),
     )
-    rows = training.append_training_samples(none, found, as_of=AS_OF, per_source=900)
+    rows = training.append_training_samples(none, found, as_of=AS_OF, per_source=20)
     return rows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("samples"), F.max(F.length("html_sample")).cast("long").alias("longest_page")
     )
@@ -418,6 +419,15 @@ def quality_model_scores(spark, sf):
     return quality.score_quality(inputs.content(spark, sf), trained.model)
 
 
+@case("topic_vocabulary", ctes("content") + terms_sql("content") + "SELECT count(*) AS terms FROM content_v")
+def topic_vocabulary(spark, sf):
+    """All terms within the limits are in the model."""
+    from newsloom.operators.topics import topic_model
+
+    model = topic_model(inputs.content(spark, sf), stop_words=inputs.STOP_WORDS, iterations=1)
+    return spark.createDataFrame([(len(model.vectorizer.vocabulary),)], "terms bigint")
+
+
 @case("topic_model_words")
 def topic_model_words(spark, sf):
     from newsloom.operators.topics import topic_model
@@ -488,6 +498,43 @@ def feed_items(spark, sf):
     )
 
 
+def atom_documents(spark, sf) -> DataFrame:
+    """Atom documents like `feed_documents`; the own address of the feed comes before each article's link."""
+    c = inputs.content(spark, sf).select("source_id", "id", "url", F.floor(F.col("id") / 200).alias("run"))
+    n = F.col("id").cast("string")
+    entry = F.concat(
+        F.lit('<entry><link rel="self" href="http://feed.example.com/atom"/><link rel="alternate" href="'), "url", F.lit('"/><title>Entry '), n,
+        F.lit("</title>"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("<summary>short "), n, F.lit("</summary>"))).otherwise(""),
+        F.when(F.col("id") % 3 < 2, F.concat(F.lit('<content type="text">long '), n, F.lit("</content>"))).otherwise(""),
+        F.lit("<updated>2024-01-05T06:07:08Z</updated></entry>"))
+    rows = c.groupBy("source_id", "run").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("entry")))).alias("e"))
+    body = F.array_join(F.transform("e", lambda e: e["entry"]), "")
+    end = F.when(F.col("source_id") == 3, "<broken").otherwise("</feed>")  # one source's documents end too early
+    return rows.select("source_id", F.concat(F.lit("<feed><title>t</title>"), body, end).alias("xml"))
+
+
+@case(
+    "atom_items",
+    ctes("content") + """,
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source_id, id // 200 ORDER BY id) - 1 AS position FROM content WHERE source_id <> 3)
+    SELECT source_id, position, 'Entry ' || id AS title, url, '2024-01-05 06:07:08' AS published,
+           CASE id % 3 WHEN 0 THEN 'short ' || id WHEN 1 THEN 'long ' || id ELSE '' END AS content
+    FROM placed WHERE position < 5""",
+)
+def atom_items(spark, sf):
+    items = feeds.feed_items(atom_documents(spark, sf), as_of=AS_OF, max_items=5)
+    return items.select("source_id", F.col("position").cast("long").alias("position"), "title", "url", ts("published"), "content")
+
+
+@case(
+    "rejected_feeds",
+    ctes("content") + "SELECT source_id, count(DISTINCT id // 200) AS documents FROM content WHERE source_id = 3 GROUP BY source_id",
+)
+def rejected_feeds(spark, sf):
+    return feeds.rejected_feeds(atom_documents(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @case(
     "merge_source_config",
     ctes("sources") + """
@@ -581,6 +628,25 @@ ALLOWED = """CASE length(host) % 5 WHEN 2 THEN NOT starts_with(path, '/en')
                  WHEN 3 THEN starts_with(path, '/en/1') OR NOT starts_with(path, '/en') WHEN 4 THEN false ELSE true END"""
 
 
+@case(
+    "robots_allowed_normalised",
+    ctes("page_urls") + """
+    SELECT page_id AS id, page_id % 3 <> 0 AS allowed FROM page_urls""",
+)
+def robots_allowed_normalised(spark, sf):
+    """Escapes in either case and hosts in capitals: every third url is under a forbidden folder."""
+    pages = inputs.table(spark, sf, "pages")
+    escape = F.when(F.col("page_id") % 2 == 0, "%3C").otherwise("%3c")
+    shout = lambda c: F.when(F.col("page_id") % 2 == 0, F.upper(c)).otherwise(c)
+    asked = pages.select(
+        F.col("page_id").alias("id"),
+        F.concat(F.lit("http://"), shout(urls.host("url")), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/a"), escape, F.lit("d"))).otherwise("/b")).alias("url"))
+    files = pages.select(urls.host("url").alias("host")).distinct().select(
+        F.when(F.length("host") % 2 == 0, F.upper("host")).otherwise(F.col("host")).alias("host"), F.lit(200).alias("status"),
+        F.when(F.length("host") % 3 == 0, "User-agent: *\nDisallow: /a%3c").otherwise("User-agent: *\nDisallow: /a%3C").alias("body"))
+    return robots.robots_allowed(asked, robots.robots_rules(files)).select("id", "allowed")
+
+
 @case("robots_allowed", ctes("page_urls") + f"SELECT page_id AS id, url, {ALLOWED} AS allowed FROM page_urls")
 def robots_allowed(spark, sf):
     pages = inputs.table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url")
