@@ -103,7 +103,7 @@ def _benchmark(width: int):
             ids = batch.column("item_id")
             for row, _, data, at in B.chunks(batch.column("text"), 1):  # a row at a time
                 tokens, slots, first = templates(data, at)
-                k = min(width, len(tokens))  # a shorter item is one window
+                k = max(1, min(width, len(tokens)))  # a shorter item is one window
                 hashes, _ = B.sequence_hashes(tokens, first, k)
                 n = len(hashes)
                 plain = [int((slots[i : i + k] == 0).sum()) for i in range(n)]
