@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from newsloom.functions import html
 from newsloom.functions.scale import cut_lineage, lookup_join
 from newsloom.functions.text import article_quality, element_quality, sql_list
 from newsloom.functions.urls import resolve_url
+from newsloom.operators.quality import with_model_quality
 from newsloom.operators.selectors import KEY
 
 # Texts for missing parts, default block selectors, class words of discovery.
@@ -193,11 +195,13 @@ def adaptive_extract(
     min_content_length: int = 100,
     min_title_length: int = 1,
     max_items: int = 10,
+    model: PipelineModel | None = None,
     **block_selectors,
 ) -> Extraction:
     """Known selectors first, generic blocks for pages where they do not find both parts.
 
-    `pages` is `page_id, source_id, url, html` (and block selectors of the source, if any).
+    `pages` is `page_id, source_id, url, html` (and block selectors of the source, if any). With a
+    trained quality model, its probability takes the place of the content rules.
     """
     nodes = page_nodes(pages)
     candidates = cut_lineage(selector_candidates(
@@ -210,12 +214,16 @@ def adaptive_extract(
         .agg(part("title"), part("content"))
         .where("title.text <> '' and content.text <> ''")
     )
+    content_quality = F.col("content.quality")
+    if model is not None:
+        both = with_model_quality(both, model, text=F.col("content.text"), name="model_quality")
+        content_quality = F.col("model_quality")
     stamp = F.lit(as_of).cast("timestamp")
     known = both.join(nodes.select("page_id", "url"), "page_id").select(
         "page_id", "source_id",
         F.col("title.text").alias("title"), F.col("content.text").alias("content"), "url",
         stamp.alias("published"),
-        article_quality("title.quality", "content.quality").alias("extraction_quality"),
+        article_quality("title.quality", content_quality).alias("extraction_quality"),
     )
     articles = known
     if fallback:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.scale import cut_lineage
-from newsloom.functions.text import FEATURES, quality_features, words
+from newsloom.functions.text import FEATURES, col, quality_features, words
 
 # Fixed values of the training set: odds of the kinds of damage (0.33, then 0.66 of a second
 # draw), shares and sizes.
@@ -116,11 +116,15 @@ def load_quality_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def with_model_quality(rows: DataFrame, model: PipelineModel, *, text: Column | str, name: str) -> DataFrame:
+    """`rows` with column `name`: probability of class 1 for `text`; empty text scores 0."""
+    t = F.coalesce(col(text), F.lit(""))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    scored = model.transform(rows.select("*", (t == "").alias("_blank"), *quality_features(t)))
+    return scored.select(*rows.columns, F.when(F.col("_blank"), 0.0).otherwise(p).alias(name))
+
+
 def score_quality(content: DataFrame, model: PipelineModel, *, text: str = "content") -> DataFrame:
     """`id, extraction_quality`: probability of class 1; empty text scores 0."""
-    blank = F.col(text).isNull() | (F.col(text) == "")
-    rows = content.select("id", blank.alias("blank"), *quality_features(F.coalesce(text, F.lit(""))))
-    p = vector_to_array("probability")
-    return model.transform(rows).select(
-        "id", F.when(F.col("blank"), 0.0).otherwise(F.get(p, F.lit(1))).alias("extraction_quality")
-    )
+    rows = content.select("id", F.col(text).alias("_text"))
+    return with_model_quality(rows, model, text="_text", name="extraction_quality").drop("_text")

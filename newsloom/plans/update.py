@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ def update_content(
     fallback: bool = True,
     max_items: int = 10,
     min_content_length: int = 100,
+    model: PipelineModel | None = None,
 ) -> UpdateRun:
     """`feeds` is `source_id, xml`, `pages` is `page_id, source_id, url, html`: what was crawled.
 
@@ -67,7 +69,8 @@ def update_content(
     trials = discovered = samples = None
     if adaptive:
         run = adaptive_extract(
-            crawled, patterns, as_of=as_of, fallback=fallback, max_items=max_items, min_content_length=min_content_length
+            crawled, patterns, as_of=as_of, fallback=fallback, max_items=max_items, min_content_length=min_content_length,
+            model=model,
         )
         from_pages, trials, discovered, samples = run.articles, run.trials, run.discovered, run.samples
     else:

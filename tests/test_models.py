@@ -68,3 +68,19 @@ def test_language_processing_run(spark, sf):
     assert columns.count() == c.processed and columns.where("summary is null or topics is null").count() == 0
     _, forced = process_nlp(content, lexicon, stop_words=inputs.STOP_WORDS, force=True, limit=20)
     assert forced.first().total == 20
+
+
+def test_extraction_takes_the_models_word_for_the_content(samples, spark):
+    from newsloom.operators.extraction import adaptive_extract
+
+    model = quality.train_quality_model(samples).model
+    body = "Words of some length stand here. They go on for a while, and then they end. " * 3
+    pages = spark.createDataFrame(
+        [(1, 7, "http://a/", f"<article><h1>A title of words</h1><p>{body}</p></article>")], "page_id long, source_id long, url string, html string")
+    patterns = spark.createDataFrame(
+        [(1, 7, "css", "h1", "title", 0.9), (2, 7, "css", "p", "content", 0.9)],
+        "id long, source_id long, selector_type string, selector string, target_element string, score double")
+    row = adaptive_extract(pages, patterns, as_of="2024-02-01", model=model).articles.first()
+    want = quality.score_quality(spark.createDataFrame([(1, row.content)], "id long, content string"), model).first()
+    assert row.extraction_quality == min(0.9, want.extraction_quality)
+    assert row.extraction_quality != adaptive_extract(pages, patterns, as_of="2024-02-01").articles.first().extraction_quality
