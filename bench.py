@@ -17,7 +17,8 @@ HEADLINE = [
     "duplicate_report", "exact_duplicates", "list_content", "keyword_hits", "quality_rules", "quality_features",
     "sentiment", "summaries", "tfidf_top_terms", "similar_to", "near_duplicate_pairs", "similarity_groups",
     "source_status", "source_health", "selector_scores", "training_retention", "feed_items", "robots_allowed",
-    "page_blocks", "extract_with_selectors", "append_new_content",
+    "page_blocks", "extract_with_selectors", "append_new_content", "near_duplicate_pairs_min_hash", "topic_model_words",
+    "quality_model_metrics", "adaptive_articles",
 ]
 
 
