@@ -45,7 +45,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = train(docs.where(crc_part(5) != 0))
-    return predict(docs, model).select("doc_id", (crc_part(5) == 0).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(crc_part(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @case("op2_html_main_text")
@@ -271,7 +271,7 @@ def op9(spark, sf_dir):
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_part(3) != 1)
     return qualitytrees.score(docs, qualitytrees.train(docs, labels)).select(
-        "doc_id", (crc_part(3) == 1).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(crc_part(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @case("op10_line_dedup", r"""
