@@ -154,5 +154,5 @@ def mixture(documents: DataFrame, **settings) -> DataFrame:
             & (F.col("_words") == F.col("_size")))
     names = ["copy", *(f"copy_{i}" for i in range(1, len(documents.columns) + 1))]
     free = next(n for n in names if n not in documents.columns)
-    return checked_join(rows, keys, same, max_rows=200_000).select(
+    return rows.join(keys, same).select(
         *[F.col(c) for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(free))
