@@ -5,13 +5,13 @@
    sets become one representative (their smallest id) from here on.
 2. Forest: in each of the `TREES` signature orders, documents that share the first `ROOT`
    minima form a region, sorted by the following ones. The neighbours in that order are those
-   with the longest common prefix, so the depth adapts to how crowded the region is. Neighbours
-   up to `REACH` places apart are candidates unless their one-bit minima rule them out
-   (at 0.8 one misses by chance with probability below 1e-9).
-3. In regions wider than `REACH` every member is also a candidate with the region's hub, the
-   document with the most candidates.
-4. Candidates are confirmed on the full sets: first direct neighbours, whose links give
-   components; then all others that still lie in different components.
+   with the longest common prefix, so the depth adapts to how crowded the region is. A candidate
+   whose one-bit minima rule it out is skipped (at 0.8 one misses by chance with probability
+   below 1e-9).
+3. Direct neighbours are confirmed on the full sets; their links give components.
+4. Then come neighbours up to `REACH` places apart that still lie in different components, and in
+   regions wider than `REACH` every member outside the component of the region's hub, the
+   document with the most direct neighbours, with that hub.
 
 A pair at the threshold of 0.8 shares no region of any tree with probability
 (1 - 0.8**3)**24 = 3e-8. Nothing grows with the square of a group: copies are one row, and near
@@ -97,18 +97,21 @@ def _sign(k: int):
     return run
 
 
+TREE_ROWS = "region bigint, place bigint, id bigint, n bigint, b1 bigint, b2 bigint"
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and tree."""
+    """A row for each document and tree; a column `group` is handed on."""
     for batch in batches:
         for first in range(0, batch.num_rows, 2000):
             part = batch.slice(first, 2000)
             keys = b"".join(part.column("region").to_pylist())
             order = b"".join(part.column("place").to_pylist())
             again = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), TREES))
+            own = ["doc_id", "n_shingles", "b1", "b2", *(["group"] if "group" in part.schema.names else [])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(order, np.int64)),
-                 again("doc_id"), again("n_shingles"), again("b1"), again("b2")],
-                names=["region", "place", "id", "n", "b1", "b2"])
+                [pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(order, np.int64)), *map(again, own)],
+                names=["region", "place", "id", "n", *own[2:]])
 
 
 def _sets(k: int):
@@ -122,63 +125,78 @@ def _sets(k: int):
     return run
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """False where sizes or one-bit minima rule out that two documents are that alike."""
+def _alike(a: str, b: str) -> Column:
+    """False where the one-bit minima rule out that two documents are alike."""
     differ = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(
         F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
-    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-    return sizes & (differ <= MAX_DIFFERENT)
+    return differ <= MAX_DIFFERENT
+
 
+def _neighbours(percent: int, gaps: range):
+    """Pairs `gaps` rows apart in one region; the rows come in order of region and place.
 
-def _neighbours(percent: int, reach: int):
-    """Pairs at most `reach` rows apart in one region; the rows come in order of region and place."""
-    columns = ["region", "id", "n", "b1", "b2"]
+    With a column `group`, pairs of one group are left out.
+    """
+    reach = gaps[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((5, 0), np.int64)  # the rows before this batch
+        last = None  # the rows before this batch
         for batch in batches:
-            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            rows = np.concatenate([last, new], axis=1)
-            begin = last.shape[1]
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            begin = 0
+            if last is not None:
+                begin = last.shape[1]
+                rows = np.concatenate([last, rows], axis=1)
             out = []
-            for gap in range(1, reach + 1):
+            for gap in gaps:
                 y = np.arange(max(begin, gap), rows.shape[1])
                 y = y[rows[0, y] == rows[0, y - gap]]
                 x = y - gap
                 small, large = np.minimum(rows[2, x], rows[2, y]), np.maximum(rows[2, x], rows[2, y])
-                bits = np.bitwise_count((rows[3:, x] ^ rows[3:, y]).view(np.uint64))
-                differ = bits[0].astype(np.int64) + bits[1]
-                alike = (small * 100 >= large * percent) & (differ <= MAX_DIFFERENT) & (rows[1, x] != rows[1, y])
-                use = alike | (gap == reach)  # those `reach` apart tell crowded regions
+                bits = np.bitwise_count((rows[3:5, x] ^ rows[3:5, y]).view(np.uint64))
+                use = (small * 100 >= large * percent) & (bits[0].astype(np.int64) + bits[1] <= MAX_DIFFERENT) & (rows[1, x] != rows[1, y])
+                if len(rows) > 5:
+                    use &= rows[5, x] != rows[5, y]
                 x, y = x[use], y[use]
-                out.append([rows[0, x], np.minimum(rows[1, x], rows[1, y]), np.maximum(rows[1, x], rows[1, y]),
-                            np.full(len(x), gap), alike[use]])
+                out.append([np.minimum(rows[1, x], rows[1, y]), np.maximum(rows[1, x], rows[1, y])])
             last = rows[:, -reach:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["region", "a", "b", "gap", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _candidates(rows: DataFrame, percent: int, reach: int) -> DataFrame:
-    """`region, a, b, gap, alike` of neighbours in the signature orders.
+def _candidates(rows: DataFrame, percent: int, gaps: range) -> DataFrame:
+    """`a, b` of neighbours in the signature orders, each pair once.
 
     One sort by ranges over all orders, so that a region of any size is spread over tasks. Where a range ends inside a
     region, the pairs across that place are not seen in this order; the other orders have them.
     """
     ordered = rows.repartitionByRange("region", "place", "id").sortWithinPartitions("region", "place", "id")
-    return ordered.select("region", "id", "n", "b1", "b2").mapInArrow(
-        _neighbours(percent, reach), "region bigint, a bigint, b bigint, gap bigint, alike boolean")
+    return ordered.drop("place").mapInArrow(_neighbours(percent, gaps), "a bigint, b bigint").distinct()
+
 
+def _with_hubs(rows: DataFrame, pairs: DataFrame, reach: int) -> DataFrame:
+    """`a, b`: the members of crowded regions with the one of them that has the most direct neighbours in all orders.
 
-def _with_hubs(rows: DataFrame, crowded: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """`a, b`: the members of crowded regions with the one that has the most candidates in all orders."""
+    `rows` has the group of each document; a region of a single group needs no hub.
+    """
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    members = checked_join(rows, crowded, "region", "left_semi").select("region", F.struct("id", "n", "b1", "b2").alias("x"))
-    known = checked_join(members, saved(degree), F.col("x.id") == F.col("id"))
-    hubs = known.groupBy("region").agg(F.max(F.struct("degree", "x"))["x"].alias("y"))
-    both = members.join(hubs, "region").where((F.col("x.id") != F.col("y.id")) & _alike("x", "y", percent))
-    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    known = checked_join(rows.select("region", "group", F.struct("id", "n", "b1", "b2").alias("x")), saved(degree), F.col("x.id") == F.col("id"))
+    hubs = saved(
+        known.groupBy("region").agg(
+            F.count(F.lit(1)).alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"),
+            F.max(F.struct("degree", "x", "group")).alias("hub"))
+        .where((F.col("m") > reach) & (F.col("lo") != F.col("hi")))
+        .select("region", F.col("hub.x").alias("y"), F.col("hub.group").alias("hub_group")))
+    return checked_join(known, hubs, "region").where((F.col("group") != F.col("hub_group")) & _alike("x", "y")).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """`id, shingles` of the documents in the pairs."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return saved(
+        checked_join(texts, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,20 +254,18 @@ def near_duplicates(
     whole = F.struct("doc_id", "n_shingles", "b1", "b2", "region", "place")
     same = saved(
         signed.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min(whole).alias("rep")))
-    rows = same.select("rep.*").mapInArrow(
-        _trees, "region bigint, place bigint, id bigint, n bigint, b1 bigint, b2 bigint")
-    found = saved(_candidates(rows, percent, reach))
-    close = saved(found.where("alike").groupBy("a", "b").agg(F.min("gap").alias("gap")))
-    crowded = saved(found.where(F.col("gap") == reach).select("region").distinct())
-    hubs = _with_hubs(rows, crowded, close, percent).withColumn("gap", F.lit(reach + 1).cast("bigint"))
-    pairs = saved(close.unionByName(hubs).groupBy("a", "b").agg(F.min("gap").alias("gap")))
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = saved(
-        checked_join(texts, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"))
-    labels = saved(_components(_confirmed(pairs.where("gap = 1"), sets, percent)))
-    further = saved(_renamed(pairs.where("gap > 1"), labels))
+    rows = same.select("rep.*").mapInArrow(_trees, TREE_ROWS)
+    close = saved(_candidates(rows, percent, range(1, 2)))
+    sets = _sets_of(texts, close, words)
+    labels = saved(_components(_confirmed(close, sets, percent)))
+    # whatever still lies in different components: neighbours further apart, and hubs
+    grouped = same.select("rep.*").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "group", F.coalesce("group", "doc_id"))
+    rows = grouped.mapInArrow(_trees, f"{TREE_ROWS}, group bigint")
+    further = _candidates(rows, percent, range(2, reach + 1)).unionByName(_with_hubs(rows, close, reach))
+    further = saved(further.distinct().join(close, ["a", "b"], "left_anti"))
     if not further.isEmpty():
-        labels = _merged(labels, _confirmed(further, sets, percent))
+        labels = _merged(labels, _confirmed(further, _sets_of(texts, further, words), percent))
     labels = labels.select(F.col("id").alias("rep"), "group")
     named = same.select("d1", "d2", F.col("rep.doc_id").alias("rep")).join(labels, "rep", "left").select(
         "d1", "d2", F.coalesce("group", "rep").alias("group"))
