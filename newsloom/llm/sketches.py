@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.work import SPACE, whole_text
+from newsloom.llm.work import SPACE, checked_join, saved, whole_text
 
 WORDS = 5
 BELOW = "2"  # of 16 leading digits: an eighth
@@ -87,11 +87,12 @@ def _bucketed(documents: DataFrame) -> DataFrame:
     order = W.orderBy("cell")
     ends = firsts.select("cell", "first", F.lag("cell").over(order).alias("before"),
                          F.max("cell").over(W.partitionBy()).alias("last"))
-    starts = ends.select(F.col("cell").alias("_cell"), "first", F.coalesce("before", "last").alias("before"),
-                         F.col("before").isNull().alias("wraps"))
+    starts = saved(ends.select(F.col("cell").alias("_cell"), "first", F.coalesce("before", "last").alias("before"),
+                               F.col("before").isNull().alias("wraps")))
     placed = texts.withColumn("cell", cell)
-    heads = placed.join(starts, placed["cell"] == starts["_cell"]).where(
-        F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("before").alias("cell"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"))
+    heads = checked_join(placed, starts, F.col("cell") == F.col("_cell")).where(
+        F.col("doc_id").eqNullSafe(F.col("first"))).select(
+        "doc_id", "text", F.col("before").alias("cell"), F.when(F.col("wraps"), 2).otherwise(1).alias("ghost"))
     return placed.select("doc_id", "text", "cell", F.lit(0).alias("ghost")).unionByName(heads)
 
 
