@@ -328,3 +328,17 @@ def test_unclosed_paragraphs_stay_linear(spark):
     rows = spark.createDataFrame([("<div>" + "<p>x</b>" * 50_000,)], "html string").select(html.parse_page("html").alias("p"))
     row = rows.select(F.size("p.nodes").alias("n"), F.length("p.text").alias("chars"), F.element_at("p.nodes", -1)["depth"].alias("d")).first()
     assert tuple(row) == (50_001, 50_000, 50_000)
+
+
+def test_half_an_append_is_not_seen(spark, tmp_path):
+    store = Tables(spark, str(tmp_path))
+    word = lambda w: spark.createDataFrame([(w,)], "word string")
+    store.append("keywords", word("a"))
+    store.append("keywords", word("b"))
+    store.append("keywords", word("c"))
+    (tmp_path / "keywords" / "add=1-2" / "_SUCCESS").unlink()  # as after a lost job
+    assert {r.word for r in store.read("keywords").collect()} == {"a", "b"}
+    store.append("keywords", word("d"))
+    assert {r.word for r in store.read("keywords").collect()} == {"a", "b", "d"}
+    store.replace("keywords", word("e"))
+    assert [r.word for r in store.read("keywords").collect()] == ["e"]
