@@ -12,11 +12,13 @@
 4. Then come neighbours up to `REACH` places apart that still lie in different components, and in
    regions wider than `REACH` every member outside the component of the region's hub, the
    document with the most direct neighbours, with that hub.
+5. Regions wider than `REACH` that even then hold several components go through a prefix filter on
+   their rarest shingles, which loses no link between these components.
 
 A pair at the threshold of 0.8 shares no region of any tree with probability
-(1 - 0.8**3)**24 = 3e-8. Nothing grows with the square of a group: copies are one row, and near
-copies give at most REACH + 1 candidates per document and tree. A family of more than REACH near
-copies is tied together by the neighbours and hubs of 24 orders; it is not enumerated pair by pair.
+(1 - 0.8**3)**24 = 3e-8. Copies are one row, and near copies are tied together by the neighbours and
+hubs of 24 orders before anything is enumerated. What step 5 looks at grows with the square of a family
+of different texts that lie just below the threshold; such pairs can only be told by looking at them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from newsloom.operators.groups import connected_components
 
 TREES, ROOT, DEPTH, REACH = 24, 3, 6, 6
 BITS = 128
+BLOCK = 1000  # documents of one shingle that meet in one step; those of more are dealt to blocks
 MAX_DIFFERENT = 38  # of BITS one-bit minima; at a likeness of 0.8 the mean is 12.8, the deviation 3.4
 _random = np.random.default_rng(17)
 ODD = _random.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -181,7 +184,9 @@ def _with_hubs(rows: DataFrame, pairs: DataFrame, reach: int) -> DataFrame:
     `rows` has the group of each document; a region of a single group needs no hub.
     """
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    known = checked_join(rows.select("region", "group", F.struct("id", "n", "b1", "b2").alias("x")), saved(degree), F.col("x.id") == F.col("id"))
+    known = checked_join(
+        rows.select("region", "group", F.struct("id", "n", "b1", "b2").alias("x")), saved(degree), F.col("x.id") == F.col("id"), "left"
+    ).withColumn("degree", F.coalesce("degree", F.lit(0)))
     hubs = saved(
         known.groupBy("region").agg(
             F.count(F.lit(1)).alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"),
@@ -237,6 +242,91 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(known.join(joined, "group", "left").select("id", F.coalesce("to", "group").alias("group")))
 
 
+POSTING = "s bigint, p int, q int, block int, id bigint, at bigint, n bigint, b1 bigint, b2 bigint, group bigint"
+
+
+def _met(percent: int):
+    """Pairs of documents that meet in one shingle and pair of blocks; the rows (`POSTING`) come in order of these.
+
+    `at` is the shingle's place among the document's, rarest first. Of the shingles that two documents share, the first
+    has all others behind it in both; where too few are behind it, the pair isn't alike or meets in an earlier one.
+    """
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
+        begin = np.flatnonzero(new)
+        inside = np.arange(rows.shape[1]) - begin[np.cumsum(new) - 1]
+        _, p, q, block, ids, at, n, b1, b2, group = rows
+        out = [np.zeros((2, 0), np.int64)]
+        y = np.flatnonzero(inside >= 1)
+        gap = 1
+        while len(y):
+            x = y - gap
+            need = (percent * (n[x] + n[y]) + 99 + percent) // (100 + percent)
+            use = (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (group[x] != group[y]) & ((p[x] == q[x]) | (block[x] != block[y]))
+            u, v = x[use], y[use]
+            differ = np.bitwise_count((b1[u] ^ b1[v]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[u] ^ b2[v]).view(np.uint64))
+            u, v = ids[u[differ <= MAX_DIFFERENT]], ids[v[differ <= MAX_DIFFERENT]]
+            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+            gap += 1
+            y = y[inside[y] >= gap]
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((10, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            end = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))
+            end = int(end[-1]) + 1 if len(end) else 0  # the last group may go on in the next batch
+            if end:
+                yield pairs(rows[:, :end])
+            rest = rows[:, end:]
+        if rest.shape[1]:
+            yield pairs(rest)
+
+    return run
+
+
+def _rest(texts: DataFrame, rows: DataFrame, words: int, percent: int, reach: int) -> DataFrame | None:
+    """Links between different groups inside regions wider than `reach`: all of them, by a prefix filter.
+
+    Only documents of such regions that hold several groups take part. A shingle all of whose holders are in one group
+    can't link two; such shingles come first in a document's order, then the rarest.
+    """
+    crowded = saved(
+        rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        .where((F.col("m") > reach) & (F.col("lo") != F.col("hi"))).select("region"))
+    docs = saved(
+        checked_join(rows, crowded, "region", "left_semi").groupBy("id")
+        .agg(*[F.first(c).alias(c) for c in ("n", "b1", "b2", "group")]))
+    if docs.isEmpty():
+        return None
+    ids = saved(docs.select(F.col("id").alias("doc_id")))
+    sets = saved(
+        checked_join(texts, ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>")
+        .dropDuplicates(["id"]))
+    each = saved(sets.join(docs.select("id", "group"), "id").select("id", "group", F.explode("shingles").alias("s")))
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("group").alias("lo"), F.max("group").alias("hi")).where(
+        "lo <> hi").select("s", "df")
+    ranked = each.select("id", "s").join(counts, "s", "left").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
+    size = F.size("all")
+    prefix = ranked.select("id", F.posexplode(F.slice("all", F.lit(1), (size - F.floor((size * percent + 99) / 100) + 1).cast("int"))))
+    postings = prefix.where("col.df > 1").select("id", F.col("pos").cast("bigint").alias("at"), "col.s", "col.df").join(docs, "id")
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = postings.withColumn("blocks", blocks).withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    names = [c.split()[0] for c in POSTING.split(", ")]
+    met = dealt.select(*names).repartition("s", "p", "q").sortWithinPartitions("s", "p", "q").mapInArrow(
+        _met(percent), "a bigint, b bigint")
+    return _confirmed(saved(met.distinct()), sets, percent)
+
+
 def near_duplicates(
     documents: DataFrame, *, words: int = 5, percent: int = 80, reach: int = REACH
 ) -> DataFrame:
@@ -266,6 +356,11 @@ def near_duplicates(
     further = saved(further.distinct().join(close, ["a", "b"], "left_anti"))
     if not further.isEmpty():
         labels = _merged(labels, _confirmed(further, _sets_of(texts, further, words), percent))
+    # what crowded regions still hold in different components
+    grouped = same.select("rep.*").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "group", F.coalesce("group", "doc_id"))
+    rest = _rest(texts, grouped.mapInArrow(_trees, f"{TREE_ROWS}, group bigint"), words, percent, reach)
+    labels = labels if rest is None else _merged(labels, rest)
     labels = labels.select(F.col("id").alias("rep"), "group")
     named = same.select("d1", "d2", F.col("rep.doc_id").alias("rep")).join(labels, "rep", "left").select(
         "d1", "d2", F.coalesce("group", "rep").alias("group"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from newsloom.llm import bytewise as B
+from newsloom.llm import neardup
 from newsloom.llm.linededup import LineRuns, line_keys, repeated_lines
 from newsloom.llm.neardup import near_duplicates
 from newsloom.llm.sketches import containment, fingerprints, merged, run_hashes, sketch_of
@@ -83,6 +84,28 @@ def test_crowded_region_loses_no_link(docs_of):
     assert got == {i: v[1] for i, v in brute(rows, 4).items()}
 
 
+def family_below(r, n, pairs):
+    """Texts of one family at a likeness of 0.76 to 0.79, and `pairs` further ones of 0.83 to one of them."""
+    base, family = [f"w{i}" for i in range(360)], []
+
+    while len(family) < n + pairs:
+        same = family[len(family) - n][1] if len(family) >= n else {}
+        edits = dict(list(same.items())[:2])
+        edits |= {k: f"e{len(family)}_{k}" for k in r.sample([k for k in range(4, 356, 4) if k not in same], 6 - len(edits))}
+        if all(len(e.keys() & edits.keys()) <= 2 for _, e in family):
+            family.append((len(family), edits))
+    return [(i, " ".join(e.get(k, w) for k, w in enumerate(base))) for i, e in family]
+
+
+def test_family_just_below_the_threshold_keeps_its_links(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 150, raising=False)
+    rows = family_below(random.Random(11), 500, 15)
+    want = {i: v[1] for i, v in brute(rows, 4).items()}
+    assert [(i, w) for i, w in want.items() if i != w] == [(500 + j, j) for j in range(15)]
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(docs_of(rows), words=4).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edge_cases(docs_of, spark):
     text = "a b c d e f g h"
     rows = [(5, text), (5, text), (None, text), (2, "A B c d e f g h"), (9, None), (10, ""), (11, "word " * 30_000)]
