@@ -3,9 +3,9 @@
 Texts become sequences of canonical tokens: lower case, without punctuation, with numbers, names and
 units replaced by typed placeholders whose original values are kept aside as slots. Windows of `width`
 tokens of the documents are hash-joined with those of the benchmark. A re-parameterised question has
-the same templates with other values; it counts only if its slots are consistent, that is if over
-all joined windows of one alignment every value of the benchmark stands for one value of the document
-and the other way round.
+the same templates with other values; it counts only if its slots are consistent, that is if within
+the window every value of the benchmark stands for one value of the document and the other way round.
+Windows without slots, or with the item's own values, always are.
 """
 
 from __future__ import annotations
@@ -174,15 +174,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_pla
         part = texts.mapInArrow(_matches(width, known), "doc_id bigint, doc_at bigint, w bigint, doc_slots array<bigint>")
         found = part if found is None else found.unionByName(part)
     joined = checked_join(found, windows, "w", max_rows=200_000)
-    shift = F.col("doc_at") - F.col("item_at")
-    values = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda p: (p["item_slots"] != 0) | (p["doc_slots"] != 0))
-    aligned = joined.withColumn("shift", shift).groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set(values))).alias("values"))
+    values = F.array_distinct(F.filter(
+        F.arrays_zip("item_slots", "doc_slots"), lambda p: (p["item_slots"] != 0) | (p["doc_slots"] != 0)))
     one_way = F.size(F.array_distinct(F.transform("values", lambda p: p["item_slots"])))
     other_way = F.size(F.array_distinct(F.transform("values", lambda p: p["doc_slots"])))
     n = F.size("values")
-    consistent = aligned.where((one_way == n) & (other_way == n))
+    consistent = joined.withColumn("values", values).where((one_way == n) & (other_way == n))
     sizes = windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
     hits = consistent.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("bigint").alias("n_windows"))
+        F.countDistinct("item_at").alias("n_windows"))
     return checked_join(hits, saved(sizes), "item_id").select("doc_id", "item_id", "n_windows", "item_windows")

@@ -92,6 +92,17 @@ def test_inconsistent_slots_are_no_leak(docs_of, spark):
     assert got == {1, 3}
 
 
+def test_one_changed_value_loses_only_its_windows(docs_of, spark):
+    words = ("a box of red stones was given to Alice when the long summer had come to its end and nobody at home "
+             "asked about it until in the winter the neighbour saw Alice with 7 of them near the well")
+    places = [i for i, w in enumerate(words.split()) if w == "Alice"]
+    other = " ".join("Bob" if i == places[1] else w for i, w in enumerate(words.split()))
+    got = {x["doc_id"]: (x["n_windows"], x["item_windows"]) for x in leaks(
+        docs_of([(1, other), (2, words)]), spark.createDataFrame([(1, words)], "item_id bigint, text string")).collect()}
+    n = len(words.split()) - 7
+    assert got == {1: (n, n), 2: (n, n)}  # no window of 8 holds both
+
+
 def test_leaks_as_by_brute_force(docs_of, spark, monkeypatch):
     """Plain words only: a leak is a common run of 8 words; the benchmark in several blocks."""
     monkeypatch.setattr(decontaminate, "WINDOW_BLOCK", 40)
