@@ -6,6 +6,9 @@ tokens of the documents are hash-joined with those of the benchmark. A re-parame
 the same templates with other values; it counts only if its slots are consistent, that is if within
 the window every value of the benchmark stands for one value of the document and the other way round.
 Windows without slots, or with the item's own values, always are.
+
+Such templates need plain words around the values. Beside them, all windows of an item are also joined as
+plain case-folded tokens without placeholders, so that a copy is found whatever it consists of.
 """
 
 from __future__ import annotations
@@ -97,6 +100,11 @@ def templates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tokens, slots, first
 
 
+def _literal(tokens: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The tokens themselves, case-folded, without placeholders."""
+    return np.where(slots != 0, slots, tokens) | np.uint64(1)
+
+
 def _benchmark(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,57 +115,63 @@ def _benchmark(width: int):
                 hashes, _ = B.sequence_hashes(tokens, first, k)
                 n = len(hashes)
                 plain = [int((slots[i : i + k] == 0).sum()) for i in range(n)]
+                exact, _ = B.sequence_hashes(_literal(tokens, slots), first, k)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, 1).take(pa.array(np.zeros(n, np.int64))).cast(pa.int64()), pa.array(np.arange(n)),
-                     pa.array(hashes.view(np.int64)), pa.array(np.full(n, k)), pa.array(plain, pa.int64()),
-                     pa.array([slots[i : i + k].view(np.int64) for i in range(n)], pa.list_(pa.int64()))],
-                    names=["item_id", "item_at", "w", "tokens", "plain", "item_slots"])
+                    [ids.slice(row, 1).take(pa.array(np.zeros(2 * n, np.int64))).cast(pa.int64()), pa.array(np.tile(np.arange(n), 2)),
+                     pa.array(np.concatenate([hashes, exact]).view(np.int64)), pa.array(np.full(2 * n, k)), pa.array(plain * 2, pa.int64()),
+                     pa.array([slots[i : i + k].view(np.int64) for i in range(n)] + [[]] * n, pa.list_(pa.int64())),
+                     pa.array(np.repeat([False, True], n))],
+                    names=["item_id", "item_at", "w", "tokens", "plain", "item_slots", "exact"])
     return run
 
 
 def _matches(width: int, known: np.ndarray):
     short = np.unique(known["tokens"][known["tokens"] < width])
-    hashes = np.sort(known["w"])
+    tables = {exact: np.sort(known["w"][known["exact"] == exact]) for exact in (False, True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for row, end, data, at in B.chunks(batch.column("text")):
                 tokens, slots, first = templates(data, at)
-                for k in [width, *short.tolist()]:  # items shorter than a window are looked for whole
-                    runs, begin = B.sequence_hashes(tokens, first, k)
-                    hit = np.flatnonzero(_in(runs, hashes))
+                for k, exact in [(k, e) for k in [width, *short.tolist()] for e in tables]:  # items shorter than a window are looked for whole
+                    runs, begin = B.sequence_hashes(_literal(tokens, slots) if exact else tokens, first, k)
+                    hit = np.flatnonzero(_in(runs, tables[exact]))
                     if not len(hit):
                         continue
                     doc = np.searchsorted(begin, hit, "right") - 1
                     place = hit - begin[doc]
                     full = first[doc + 1] - first[doc] >= k
                     hit, doc, place = hit[full], doc[full], place[full]
-                    own = [slots[a : a + k].view(np.int64) for a in first[doc] + place]
+                    if exact:  # once for each document
+                        once = np.unique(np.stack([doc.astype(np.uint64), runs[hit]]), axis=1, return_index=True)[1]
+                        hit, doc = hit[once], doc[once]
+                    own = [[]] * len(hit) if exact else [slots[a : a + k].view(np.int64) for a in first[doc] + place]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(row, end - row).take(pa.array(doc)).cast(pa.int64()), pa.array(place),
-                         pa.array(runs[hit].view(np.int64)), pa.array(own, pa.list_(pa.int64()))],
-                        names=["doc_id", "doc_at", "w", "doc_slots"])
+                        [ids.slice(row, end - row).take(pa.array(doc)).cast(pa.int64()),
+                         pa.array(runs[hit].view(np.int64)), pa.array(own, pa.list_(pa.int64())), pa.array(np.full(len(hit), exact))],
+                        names=["doc_id", "w", "doc_slots", "exact"])
     return run
 
 
 def benchmark_windows(benchmark: DataFrame, *, width: int = 8, min_plain: int = 5) -> DataFrame:
-    """`item_id, item_at, w, tokens, plain, item_slots`: template windows of the items.
+    """`item_id, item_at, w, tokens, plain, item_slots, exact`: windows of the items, as templates and (`exact`) as they are.
 
-    Windows of fewer than `min_plain` words that are no placeholders say too little and are left out; so an
-    item of fewer words is not looked for. An item shorter than `width` is one window.
+    Templates of fewer than `min_plain` words that are no placeholders say too little and are left out; the
+    exact windows are all there. An item shorter than `width` is one window.
     """
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(
         _benchmark(width),
-        "item_id bigint, item_at bigint, w bigint, tokens bigint, plain bigint, item_slots array<bigint>")
-    return rows.where(F.col("plain") >= min_plain)
+        "item_id bigint, item_at bigint, w bigint, tokens bigint, plain bigint, item_slots array<bigint>, exact boolean")
+    return rows.where(F.col("exact") | (F.col("plain") >= min_plain))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_plain: int = 5) -> DataFrame:
-    """`doc_id, item_id, n_windows, item_windows`: documents that hold passages of benchmark items.
+    """`doc_id, item_id, n_windows, item_windows, n_exact, item_exact`: documents that hold passages of benchmark items.
 
-    One row per document and item with at least one window whose slots are consistent; `n_windows` counts the
-    item's windows found, `item_windows` all it has. Repeated doc_ids count as one document, a null doc_id is
+    One row per document and item with at least one template window whose slots are consistent, or one window
+    copied but for case and punctuation. `n_windows` counts the item's template windows found, `item_windows` all
+    it has; `n_exact` and `item_exact` count the windows as they are. Repeated doc_ids count as one document, a null doc_id is
     one document of its own; null and empty texts hold nothing. Benchmark windows go to the tasks in blocks of
     `WINDOW_BLOCK` hashes, each read against all documents.
     """
@@ -168,19 +182,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_pla
     found = None
     for i in range(max(1, -(-total // WINDOW_BLOCK))):
         block = windows.where(F.pmod(F.xxhash64("w"), F.lit(-(-total // WINDOW_BLOCK) or 1)) == i)
-        rows = block.select("w", "tokens").distinct().toPandas()  # at most about WINDOW_BLOCK rows
-        known = np.zeros(len(rows), [("w", np.uint64), ("tokens", np.int64)])
+        rows = block.select("w", "tokens", "exact").distinct().toPandas()  # at most about WINDOW_BLOCK rows
+        known = np.zeros(len(rows), [("w", np.uint64), ("tokens", np.int64), ("exact", bool)])
         known["w"], known["tokens"] = rows["w"].to_numpy(np.int64).view(np.uint64), rows["tokens"]
-        part = texts.mapInArrow(_matches(width, known), "doc_id bigint, doc_at bigint, w bigint, doc_slots array<bigint>")
+        known["exact"] = rows["exact"].to_numpy(bool)
+        part = texts.mapInArrow(_matches(width, known), "doc_id bigint, w bigint, doc_slots array<bigint>, exact boolean")
         found = part if found is None else found.unionByName(part)
-    joined = checked_join(found, windows, "w", max_rows=200_000)
+    joined = checked_join(found, windows, ["w", "exact"], max_rows=200_000)
     values = F.array_distinct(F.filter(
         F.arrays_zip("item_slots", "doc_slots"), lambda p: (p["item_slots"] != 0) | (p["doc_slots"] != 0)))
     one_way = F.size(F.array_distinct(F.transform("values", lambda p: p["item_slots"])))
     other_way = F.size(F.array_distinct(F.transform("values", lambda p: p["doc_slots"])))
     n = F.size("values")
     consistent = joined.withColumn("values", values).where((one_way == n) & (other_way == n))
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    hits = consistent.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_at").alias("n_windows"))
-    return checked_join(hits, saved(sizes), "item_id").select("doc_id", "item_id", "n_windows", "item_windows")
+    places = lambda exact: F.countDistinct(F.when(F.col("exact") == exact, F.col("item_at")))
+    sizes = windows.groupBy("item_id").agg(places(False).alias("item_windows"), places(True).alias("item_exact"))
+    hits = consistent.groupBy("doc_id", "item_id").agg(places(False).alias("n_windows"), places(True).alias("n_exact"))
+    return checked_join(hits, saved(sizes), "item_id").select(
+        "doc_id", "item_id", "n_windows", "item_windows", "n_exact", "item_exact")

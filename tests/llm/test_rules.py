@@ -103,6 +103,14 @@ def test_one_changed_value_loses_only_its_windows(docs_of, spark):
     assert got == {1: (n, n), 2: (n, n)}  # no window of 8 holds both
 
 
+def test_copies_without_plain_words_are_found(docs_of, spark):
+    sums, title, names = "What is 12 + 7 - 3 x 5 + 40 - 8?", "Who wrote War and Peace?", "then Ann Ben Cid Dora Eve Finn Gus Hal Ida left"
+    bench = spark.createDataFrame([(1, sums), (2, title), (3, names)], "item_id bigint, text string")
+    rows = [(1, f"Well. {sums} So"), (2, f"they ask: {title.lower()}"), (3, names.upper()), (4, names.lower()), (5, sums.replace("12", "13").replace("40", "41")), (6, title)]
+    got = {(x["doc_id"], x["item_id"]): (x["n_exact"], x["item_exact"]) for x in leaks(docs_of(rows), bench).collect()}
+    assert got == {(1, 1): (2, 2), (2, 2): (1, 1), (3, 3): (4, 4), (4, 3): (4, 4), (6, 2): (1, 1)}
+
+
 def test_leaks_as_by_brute_force(docs_of, spark, monkeypatch):
     """Plain words only: a leak is a common run of 8 words; the benchmark in several blocks."""
     monkeypatch.setattr(decontaminate, "WINDOW_BLOCK", 40)
