@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import pagemodel, qualitytrees
 from newsloom.llm.decontaminate import leaks
+from newsloom.llm.filteraudit import filter_audit
 from newsloom.llm.labelledpages import labelled_pages
 from newsloom.llm.langid import predict, train
 from newsloom.llm.licences import COPYRIGHT, PUNCTUATION, SPELLINGS, known, known_texts, licence_hits
@@ -295,3 +296,55 @@ FROM marked GROUP BY doc_id
 """)
 def op10(spark, sf_dir):
     return repeated_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@case("op11_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+marks AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+),
+f AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) < 200 AS fa,
+        100 * len(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) < 50 * len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS fb,
+        100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS fc,
+        regexp_matches(t, '[#$%&*|]') AS fd,
+        CASE WHEN d.doc_id IS NULL THEN min(d.doc_id) OVER (PARTITION BY t) IS NOT NULL
+             ELSE d.doc_id > min(d.doc_id) OVER (PARTITION BY t) END AS fe
+    FROM d LEFT JOIN marks m ON m.doc_id = d.doc_id
+),
+cells AS (
+    SELECT part, fa, fb, fc, fd, fe, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS o
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+),
+steps AS (SELECT o, s, substring(o, s, 1) AS here, substring(o, 1, s - 1) AS before FROM orders, range(1, 6) r(s)),
+judged AS (
+    SELECT c.*, o, s, here,
+        (contains(before, 'A') AND fa) OR (contains(before, 'B') AND fb) OR (contains(before, 'C') AND fc)
+            OR (contains(before, 'D') AND fd) OR (contains(before, 'E') AND fe) AS earlier,
+        CASE here WHEN 'A' THEN fa WHEN 'B' THEN fb WHEN 'C' THEN fc WHEN 'D' THEN fd ELSE fe END AS fails,
+        fa::INT + fb::INT + fc::INT + fd::INT + fe::INT AS n_fails
+    FROM cells c, steps
+),
+counted AS (
+    SELECT part, o AS filter_order, s::INT AS step, here,
+        sum(CASE WHEN NOT earlier AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN NOT earlier AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN earlier AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN NOT earlier AND fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN NOT earlier AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, here))::BIGINT AS shapley
+FROM counted
+""")
+def op11(spark, sf_dir):
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
