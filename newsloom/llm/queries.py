@@ -12,6 +12,7 @@ from newsloom.llm.decontaminate import leaks
 from newsloom.llm.filteraudit import filter_audit
 from newsloom.llm.labelledpages import labelled_pages
 from newsloom.llm.langid import predict, train
+from newsloom.llm.lexsearch import search
 from newsloom.llm.licences import COPYRIGHT, PUNCTUATION, SPELLINGS, known, known_texts, licence_hits
 from newsloom.llm.linededup import repeated_lines
 from newsloom.llm.mixing import mixed
@@ -348,3 +349,34 @@ FROM counted
 """)
 def op11(spark, sf_dir):
     return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@case("op12_lexical_search", r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t, row_number() OVER () AS r
+    FROM documents
+),
+stats AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS nd, sum(len(t)) AS nt FROM d),
+postings AS (SELECT r, doc_id, term, count(*) AS tf, any_value(len(t)) AS n FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) GROUP BY r, doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+w AS (SELECT term, CAST(floor(1000.0 * ln((2.0 * nd + 2.0) / (2.0 * df + 1.0))) AS BIGINT) AS w FROM dfs, stats),
+q AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+),
+scored AS (
+    SELECT q.item_id, p.r, p.doc_id,
+        sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * s.nd) // s.nt)))) AS score
+    FROM q JOIN postings p USING (term) JOIN w USING (term), stats s
+    GROUP BY q.item_id, p.r, p.doc_id
+),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank
+    FROM scored WHERE score > 0 AND doc_id IS NOT NULL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+""")
+def op12(spark, sf_dir):
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="item_id", k=10)
