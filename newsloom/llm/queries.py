@@ -17,6 +17,7 @@ from newsloom.llm.licences import COPYRIGHT, PUNCTUATION, SPELLINGS, known, know
 from newsloom.llm.linededup import repeated_lines
 from newsloom.llm.mixing import mixed
 from newsloom.llm.neardup import near_duplicates
+from newsloom.llm.packing import pack, tokenizer_path
 from newsloom.llm.sketches import fingerprints
 from newsloom.llm.urlrules import judge
 from newsloom.llm.work import crc_part
@@ -380,3 +381,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS
 """)
 def op12(spark, sf_dir):
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="item_id", k=10)
+
+
+@case("op13_packing")
+def op13(spark, sf_dir):
+    return pack(documents(spark, sf_dir), tokenizer_path(), seq_len=4096)
