@@ -1,7 +1,8 @@
 """Ranked lexical search: the top documents of each query by an integer BM25-like score.
 
 Method: hybrid term-at-a-time / document-at-a-time over an inverted index.
-1. The index holds postings (row, doc_id, term, tf, n): one per distinct term of a document, written once.
+1. The index holds postings (row, doc_id, term, tf, n): one per distinct query term of a document,
+   written once after one pass over the texts (terms no query holds are dropped in that pass).
 2. A query term is *short* when at most `short_fraction` of the documents hold it, *long* otherwise.
    Term at a time: the postings of the short terms are joined to the queries (the queries are sent to
    all tasks) and summed into accumulators — one partial score per (query, document).
@@ -46,17 +47,24 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(TERM), 0)
 
 
-def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """Postings (row, doc_id, term, tf, n) written to the shared folder, with N and L."""
+def build_index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int, int]:
+    """Postings (row, doc_id, term, tf, n) of the `wanted` terms, written to the shared folder, with N and L.
+
+    Every document also gets one marker posting of the empty term (never a real term) that carries its
+    n, so the statistics of the whole table come from the same single pass over the texts.
+    """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         terms(F.col("text")).alias("t"),
-    ).select("row", "doc_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    # Terms of one document sit in one input partition: the partial count folds them before the shuffle.
-    postings = saved(rows.groupBy("row", "doc_id", "term", "n").agg(F.count(F.lit(1)).alias("tf")))
-    stats = postings.groupBy("row").agg(F.first("n").alias("n")).agg(
-        F.count(F.lit(1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
-    return postings, int(stats["N"]), int(stats["L"])
+    ).select("row", "doc_id", F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    keep = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # Only terms of the queries pass (the query terms are sent to all tasks); the terms of one document
+    # sit in one input partition, so the partial count folds them before the shuffle.
+    found = checked_join(rows, keep, "term", "left_semi")
+    postings = saved(found.groupBy("row", "doc_id", "term", "n").agg(F.count(F.lit(1)).alias("tf")))
+    stats = postings.where(F.col("term") == "").agg(
+        F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    return postings.where(F.col("term") != ""), int(stats["N"]), int(stats["L"])
 
 
 def query_terms(queries: DataFrame, key: str) -> DataFrame:
@@ -76,18 +84,16 @@ def impact(n_docs: int, n_terms: int) -> Column:
 def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = TOP,
            short_fraction: float = SHORT_FRACTION) -> DataFrame:
     """(key, rank, doc_id, score): the k best documents of every query row; see the module text."""
-    postings, n_docs, n_terms = build_index(docs)
     qt = saved(query_terms(queries, key))
-    # Weights of the query terms only: the vocabulary of the corpus never leaves the executors.
-    wanted = qt.select("term").distinct()
-    df = checked_join(postings.select("term"), wanted, "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
+    # Postings and weights of the query terms only: the vocabulary of the corpus never leaves the executors.
+    postings, n_docs, n_terms = build_index(docs, qt.select("term").distinct())
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = saved(df.select(
         "term", "df", F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long").alias("w")))
     qt = qt.join(weights, "term")  # both sides are as small as the query set
     short = F.col("df") <= F.lit(max(1.0, short_fraction * n_docs))
     posted = checked_join(postings, weights.select("term", "w", "df"), "term").withColumn("impact", impact(n_docs, n_terms))
-    posted = saved(posted.where(F.col("impact") > 0).select("row", "doc_id", "term", "df", "impact"))
+    posted = posted.where(F.col("impact") > 0).select("row", "doc_id", "term", "df", "impact")
 
     # 2. term at a time over the short lists
     short_q = qt.where(short).select("qrow", "qkey", "term", "q")
