@@ -27,6 +27,7 @@ Only doc_id and text are read, so other columns of any name are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -45,6 +46,7 @@ END_ID = 2  # fixed: the id that closes every document
 SENTENCE_COST = 16  # cutting at a sentence end inside a document, in padding ids
 TRUNCATION_COST = 256  # cutting anywhere else inside a document
 BLOCK_TOKENS = 1 << 20  # ids solved at once by one task (a block ends at a document boundary)
+ENCODE_CHARS = 1 << 20  # code points encoded at once
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, part int")
@@ -75,39 +77,50 @@ def plan_cuts(costs: dict[int, int], total: int, seq_len: int = SEQ_LEN) -> list
 
     `costs` maps candidate positions in (0, total) to their cut cost; 0 and `total` cost nothing.
     """
-    cands = sorted({0, total, *(p for p in costs if 0 < p < total)})
-    where = {p: i for i, p in enumerate(cands)}
-    powers = [1 << k for k in range(seq_len.bit_length()) if (1 << k) <= seq_len]
-    best = np.full(len(cands), np.inf)
-    back = np.full(len(cands), -1, dtype=np.int64)
-    best[0] = 0.0
-    queue: deque[int] = deque()  # candidate indexes with increasing best + position
-    lo = 0
-    for j in range(1, len(cands)):
-        c = cands[j]
-        i_new = j - 1
-        if np.isfinite(best[i_new]):
-            v = best[i_new] + cands[i_new]
-            while queue and best[queue[-1]] + cands[queue[-1]] >= v:
+    cands = np.array(sorted({0, total, *(p for p in costs if 0 < p < total)}), dtype=np.int64)
+    # Earlier candidates exactly a power of two before each one: few, found by vectorised search.
+    exact: dict[int, list[int]] = {}
+    p = 1
+    while p <= seq_len:
+        i = np.searchsorted(cands, cands - p)
+        hit = np.flatnonzero((i < len(cands)) & (cands[np.minimum(i, len(cands) - 1)] == cands - p))
+        for j, k in zip(hit.tolist(), i[hit].tolist()):
+            exact.setdefault(j, []).append(k)
+        p <<= 1
+    # The first candidate at most one window back, for every candidate.
+    first = np.searchsorted(cands, cands - seq_len).tolist()
+    pos = cands.tolist()
+    here = [0] * len(pos)
+    for j, c in enumerate(pos[1:-1], 1):
+        here[j] = costs.get(c, TRUNCATION_COST)
+    inf = float("inf")
+    best, back = [inf] * len(pos), [-1] * len(pos)
+    best[0] = 0
+    key = [inf] * len(pos)  # best + position, what the queue orders by
+    key[0] = 0
+    queue: deque[int] = deque()  # candidate indexes with increasing key
+    for j in range(1, len(pos)):
+        v = key[j - 1]
+        if v < inf:
+            while queue and key[queue[-1]] >= v:
                 queue.pop()
-            queue.append(i_new)
-        while cands[lo] < c - seq_len:
-            lo += 1
+            queue.append(j - 1)
+        lo = first[j]
         while queue and queue[0] < lo:
             queue.popleft()
-        here = 0 if c == total else costs.get(c, TRUNCATION_COST)
+        c = pos[j]
         if queue:
             i = queue[0]
-            best[j] = best[i] + seq_len - (c - cands[i]) + here
+            best[j] = key[i] + seq_len - c + here[j]
             back[j] = i
-        for p in powers:  # lengths that are a power of two carry no padding
-            i = where.get(c - p)
-            if i is not None and np.isfinite(best[i]) and best[i] + here < best[j]:
-                best[j], back[j] = best[i] + here, i
-    cuts, j = [], len(cands) - 1
+        for i in exact.get(j, ()):  # lengths that are a power of two carry no padding
+            if best[i] + here[j] < best[j]:
+                best[j], back[j] = best[i] + here[j], i
+        key[j] = best[j] + c
+    cuts, j = [], len(pos) - 1
     while j > 0:
-        cuts.append(cands[j])
-        j = int(back[j])
+        cuts.append(pos[j])
+        j = back[j]
     return [0, *reversed(cuts)]
 
 
@@ -131,7 +144,7 @@ def pack_block(ids: list[np.ndarray], keys: list, sentence_ids: np.ndarray, seq_
     """Pieces of one block: (key, start, length, crc, doc_tokens, local sequence, offset)."""
     lengths = np.array([len(x) for x in ids], dtype=np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    stream = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+    stream = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
     total = int(bounds[-1])
     sentence = np.flatnonzero(np.isin(stream, sentence_ids)) + 1  # cut after a sentence end
     cuts = plan_cuts(candidates(bounds[1:-1], sentence, total, seq_len), total, seq_len)
@@ -148,7 +161,20 @@ def pack_block(ids: list[np.ndarray], keys: list, sentence_ids: np.ndarray, seq_
     return out, len(cuts) - 1
 
 
+def _slices(texts: list[str], chars: int = ENCODE_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `chars` code points together (a longer text is a run of its own)."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > chars:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, block_tokens: int) -> Iterator[pd.DataFrame]:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
     tok, sentence_ids = _tokenizer(path)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     ids, keys, size, done = [], [], 0, 0
@@ -164,13 +190,15 @@ def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, bl
 
     for batch in batches:
         texts = batch["text"].fillna("").tolist()
-        for key, enc in zip(batch["doc_id"].tolist(), tok.encode_batch(texts, add_special_tokens=False)):
-            one = np.append(np.asarray(enc.ids, dtype=np.int64), END_ID)
-            ids.append(one)
-            keys.append(None if key is None or key != key else int(key))
-            size += len(one)
-            if size >= block_tokens:
-                yield flush()
+        doc_keys = batch["doc_id"].tolist()
+        for lo, hi in _slices(texts):  # encodings hold offsets and token strings: a bounded number at once
+            for key, enc in zip(doc_keys[lo:hi], tok.encode_batch(texts[lo:hi], add_special_tokens=False)):
+                one = np.append(np.asarray(enc.ids, dtype=np.int32), np.int32(END_ID))
+                ids.append(one)
+                keys.append(None if key is None or key != key else int(key))
+                size += len(one)
+                if size >= block_tokens:
+                    yield flush()
     if ids:
         yield flush()
 
