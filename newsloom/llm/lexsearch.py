@@ -6,14 +6,16 @@ Method: hybrid term-at-a-time / document-at-a-time over an inverted index.
 2. A query term is *short* when at most `short_fraction` of the documents hold it, *long* otherwise.
    Term at a time: the postings of the short terms are joined to the queries (the queries are sent to
    all tasks) and summed into accumulators — one partial score per (query, document).
-3. The accumulators are completed with the long terms' contributions by a keyed look-up on
-   (term, document), so they become exact scores; the k-th best of them is the query's threshold.
+3. The k-th best partial score is a lower bound of the k-th best full score; an accumulator whose
+   partial score plus the most all long terms can add (each term's highest impact) stays below it can
+   never rank and is dropped. The others are completed with the long terms' contributions by a keyed
+   look-up on (term, document), so they become exact scores; the k-th best of them is the threshold.
 4. Document at a time over the long lists, treating the accumulators as one bounded iterator: a
    document outside the accumulators scores from the long terms only, so it can reach the threshold
    only if one of its K long terms gives at least threshold / K. Long postings carry an impact band
    (floor of log2 of the impact); a query asks only for the bands that can reach its bound, so the
    join skips every other posting without pairing it. The remaining candidates are scored exactly by
-   the same look-up. With fewer than k accumulators the threshold is 0, and every long posting of
+   look-up over all the query's terms. With fewer than k accumulators the threshold is 0, and every long posting of
    positive impact is a candidate: the exact way for the rest, with no cap.
 
 Score (all integer but the weight): terms are maximal runs of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]`
@@ -100,12 +102,16 @@ def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = T
     acc = saved(checked_join(posted, short_q, "term").groupBy("qrow", "qkey", "row", "doc_id").agg(
         F.sum(F.col("q") * F.col("impact")).alias("partial")))
     long_q = qt.where(~short).select("qrow", "term", "q")
-    # 3. accumulators completed by look-ups of (term, document) in the long lists
-    scored_acc = saved(complete(acc, long_q, posted, "partial"))
-    # The k-th best exact accumulator of each query; 0 (no pruning) with fewer than k.
-    ranked = scored_acc.where(F.col("doc_id").isNotNull()).withColumn("i", F.row_number().over(
-        Window.partitionBy("qrow").orderBy(F.desc("score"), "doc_id", "row")))
-    theta = ranked.where(F.col("i") == k).select("qrow", F.col("score").alias("theta"))
+    # The long terms can add at most `reach` to any document of a query.
+    peaks = posted.groupBy("term").agg(F.max("impact").alias("peak"))
+    reach = long_q.join(peaks, "term").groupBy("qrow").agg(F.sum(F.col("q") * F.col("peak")).alias("reach"))
+    # 3. the k-th best partial score bounds the k-th best full one from below: accumulators that cannot
+    # reach it even with every long term are dropped, the others completed by look-ups of (term, document).
+    low = kth(acc.where(F.col("doc_id").isNotNull()), "partial", k).withColumnRenamed("kth", "low")
+    survivors = acc.join(low, "qrow", "left").join(reach, "qrow", "left").where(
+        F.col("low").isNull() | (F.col("partial") + F.coalesce(F.col("reach"), F.lit(0)) >= F.col("low")))
+    scored_acc = saved(complete(survivors.select("qrow", "qkey", "row", "doc_id", "partial"), long_q, posted, "partial"))
+    theta = kth(scored_acc.where(F.col("doc_id").isNotNull()), "score", k).withColumnRenamed("kth", "theta")
     # 4. document at a time over the long lists, skipping postings below the bound
     bounds = long_q.join(long_q.groupBy("qrow").agg(F.count(F.lit(1)).alias("K")), "qrow").join(theta, "qrow", "left")
     bounds = bounds.join(qt.select("qrow", "qkey").distinct(), "qrow")
@@ -114,15 +120,26 @@ def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = T
                            F.explode(F.sequence(band(need), F.lit(62))).alias("band"))
     hits = checked_join(posted.withColumn("band", band(F.col("impact"))), banded, ["term", "band"]).where(
         F.col("impact") >= F.col("need"))
-    fresh = hits.select("qrow", "qkey", "row", "doc_id").distinct().join(
-        acc.select("qrow", "row"), ["qrow", "row"], "left_anti").withColumn("partial", F.lit(0).cast("long"))
-    scored_new = complete(fresh, long_q, posted, "partial")
+    # Candidates of the long lists are scored over all the query's terms: some may hold short ones too.
+    fresh = hits.select("qrow", "qkey", "row", "doc_id").distinct().withColumn("partial", F.lit(0).cast("long"))
+    scored_new = complete(fresh, qt.select("qrow", "term", "q"), posted, "partial")
     every = scored_acc.unionByName(scored_new).where((F.col("score") > 0) & F.col("doc_id").isNotNull())
+    every = every.dropDuplicates(["qrow", "row"])  # both ways give the same exact score
     top = every.withColumn("rank", F.row_number().over(
         Window.partitionBy("qrow").orderBy(F.desc("score"), "doc_id", "row"))).where(F.col("rank") <= k)
     return top.select(F.col("qkey").alias(key), F.col("rank").cast("int"), "doc_id", F.col("score").cast("long"))
 
 
+def kth(scored: DataFrame, column: str, k: int) -> DataFrame:
+    """(qrow, kth): the k-th best value of `column` per query, for queries with at least k rows.
+
+    A filter on the row number lets Spark keep only k rows per query in each task before the shuffle.
+    """
+    ranked = scored.withColumn("i", F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc(column), "doc_id", "row")))
+    return ranked.where(F.col("i") <= k).groupBy("qrow").agg(
+        F.min(column).alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qrow", "kth")
+
+
 def band(value: Column) -> Column:
     """Impact band: floor(log2(value)) for values of at least 1, else 0."""
     return F.when(value >= 1, F.floor(F.log2(value.cast("double")))).otherwise(F.lit(0)).cast("int")
