@@ -12,10 +12,14 @@ Method: hybrid term-at-a-time / document-at-a-time over an inverted index.
    look-up on (term, document), so they become exact scores; the k-th best of them is the threshold.
 4. Document at a time over the long lists, treating the accumulators as one bounded iterator: a
    document outside the accumulators scores from the long terms only, so it can reach the threshold
-   only if one of its K long terms gives at least threshold / K. Long postings carry an impact band
+   only if one of its long terms gives enough: long terms sorted by their highest impact, those whose
+   sum stays below the threshold are not essential (their sum is R), and a document that reaches the
+   threshold holds an essential term giving at least (threshold - R) / (number of essential terms).
+   The threshold is the larger of the k-th best exact accumulator and, for each long term, its own
+   k-th best posting (k documents reach that with this term alone). Long postings carry an impact band
    (floor of log2 of the impact); a query asks only for the bands that can reach its bound, so the
    join skips every other posting without pairing it. The remaining candidates are scored exactly by
-   look-up over all the query's terms. With fewer than k accumulators the threshold is 0, and every long posting of
+   look-up over all the query's terms. Without any threshold (fewer than k documents) every long posting of
    positive impact is a candidate: the exact way for the rest, with no cap.
 
 Score (all integer but the weight): terms are maximal runs of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]`
@@ -63,7 +67,9 @@ def build_index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int, int
     # Only terms of the queries pass (the query terms are sent to all tasks); the terms of one document
     # sit in one input partition, so the partial count folds them before the shuffle.
     found = checked_join(rows, keep, "term", "left_semi")
-    postings = saved(found.groupBy("row", "doc_id", "term", "n").agg(F.count(F.lit(1)).alias("tf")))
+    # Dealt by document: the written postings of one document stay together, so sums per (query,
+    # document) fold inside each task later on.
+    postings = saved(found.repartition("row").groupBy("row", "doc_id", "term", "n").agg(F.count(F.lit(1)).alias("tf")))
     stats = postings.where(F.col("term") == "").agg(
         F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     return postings.where(F.col("term") != ""), int(stats["N"]), int(stats["L"])
@@ -111,11 +117,25 @@ def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = T
     survivors = acc.join(low, "qrow", "left").join(reach, "qrow", "left").where(
         F.col("low").isNull() | (F.col("partial") + F.coalesce(F.col("reach"), F.lit(0)) >= F.col("low")))
     scored_acc = saved(complete(survivors.select("qrow", "qkey", "row", "doc_id", "partial"), long_q, posted, "partial"))
-    theta = kth(scored_acc.where(F.col("doc_id").isNotNull()), "score", k).withColumnRenamed("kth", "theta")
-    # 4. document at a time over the long lists, skipping postings below the bound
-    bounds = long_q.join(long_q.groupBy("qrow").agg(F.count(F.lit(1)).alias("K")), "qrow").join(theta, "qrow", "left")
+    theta_acc = kth(scored_acc.where(F.col("doc_id").isNotNull()), "score", k).withColumnRenamed("kth", "t1")
+    # A long term's own k-th best posting also bounds the k-th best full score from below.
+    own = kth(posted.where(F.col("doc_id").isNotNull()).withColumnRenamed("term", "qrow"), "impact", k)
+    theta_own = long_q.join(own.withColumnRenamed("qrow", "term"), "term").groupBy("qrow").agg(
+        F.max(F.col("q") * F.col("kth")).alias("t2"))
+    theta = theta_acc.join(theta_own, "qrow", "full").select("qrow", F.greatest("t1", "t2").alias("theta"))
+    # 4. document at a time over the long lists, skipping postings below the bound. Long terms in rising
+    # order of their most: those whose sum stays below theta are not essential; a document that can reach
+    # theta holds an essential term giving at least (theta - that sum) / (number of essential terms).
+    tops = long_q.join(peaks, "term").join(theta, "qrow", "left").withColumn("top", F.col("q") * F.col("peak"))
+    upto = Window.partitionBy("qrow").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = tops.withColumn("below", F.sum("top").over(upto))
+    essential = tops.where(F.col("theta").isNull() | (F.col("below") >= F.col("theta")))
+    rest = tops.where(F.col("theta").isNotNull() & (F.col("below") < F.col("theta"))).groupBy("qrow").agg(
+        F.max("below").alias("spare"))
+    bounds = essential.join(essential.groupBy("qrow").agg(F.count(F.lit(1)).alias("E")), "qrow").join(rest, "qrow", "left")
     bounds = bounds.join(qt.select("qrow", "qkey").distinct(), "qrow")
-    need = F.coalesce(F.expr("(theta + K * q - 1) div (K * q)"), F.lit(1))  # least impact able to reach theta
+    # least impact of an essential posting able to reach theta; 1 without a theta
+    need = F.greatest(F.coalesce(F.expr("div(theta - coalesce(spare, 0L) + E * q - 1, E * q)"), F.lit(1)), F.lit(1))
     banded = bounds.select("qrow", "qkey", "term", need.alias("need"),
                            F.explode(F.sequence(band(need), F.lit(62))).alias("band"))
     hits = checked_join(posted.withColumn("band", band(F.col("impact"))), banded, ["term", "band"]).where(

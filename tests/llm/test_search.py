@@ -59,3 +59,18 @@ def test_empty_tables_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "cat", 9, 9)], "doc_id long, text string, row long, term long")
     clash = spark.createDataFrame([(1, "cat", 3)], "item_id long, text string, qrow long")
     assert [tuple(r) for r in search(docs, clash).collect()] == [(1, 1, 1, brute([(1, "cat")], [(1, "cat")], 10)[0][3])]
+
+
+@pytest.mark.parametrize("fraction", [0.02, 0.1])
+def test_search_equals_a_loop_on_a_skewed_vocabulary(spark, fraction):
+    import random
+
+    rnd = random.Random(7)
+    vocab = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rnd.choices(vocab, weights, k=rnd.randint(0, 80)))) for i in range(300)]
+    items = [(j, " ".join(rnd.choices(vocab, weights, k=rnd.randint(1, 12)))) for j in range(25)]
+    got = sorted(tuple(r) for r in search(spark.createDataFrame(docs, "doc_id long, text string"),
+                                          spark.createDataFrame(items, "item_id long, text string"),
+                                          k=5, short_fraction=fraction).collect())
+    assert got == brute(docs, items, 5)
