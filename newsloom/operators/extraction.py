@@ -48,7 +48,8 @@ def selector_candidates(
     is_title = F.col("target_element") == "title"
     first = html.text_of("text", F.get("found", F.lit(0)))
     every = F.array_join(F.transform("found", lambda n: html.text_of("text", n)), "\n")
-    texts = found.where("steps is not null").select(
+    # A pattern of unsupported syntax finds nothing on every page, and so is logged as a failed trial.
+    texts = found.select(
         "page_id", *KEY, "order", F.when(F.size("found") > 0, F.when(is_title, first).otherwise(every)).alias("value")
     )
     least = F.when(F.col("target_element") == "title", min_title_length).otherwise(min_content_length)
@@ -80,6 +81,32 @@ def extract_with_selectors(pages: DataFrame, patterns: DataFrame, **options) ->
     return first_passing(selector_candidates(page_nodes(pages), patterns, **options))
 
 
+def select_all(nodes: DataFrame, selectors: list[str], selector_type: str = "css") -> DataFrame:
+    """Every selector of the list on every page, as a browser's `querySelectorAll` would run it.
+
+    One row per page and selector: `page_id, selector, supported, n_matches, first_text, all_text`;
+    the texts of the matches are stripped and joined by a line break in document order, each element
+    once. Unsupported syntax (see `html.compile_css`) gives `supported` false and no match; no match
+    gives null texts. The selectors are compiled once, on the driver, and travel with the plan: no join.
+    """
+    rows = F.array(*[
+        F.struct(F.lit(sel).alias("selector"), html.selector_steps(f"'{selector_type}'", sql_list([sel])).alias("steps"))
+        for sel in selectors
+    ])
+    tried = nodes.select("page_id", "text", "nodes", F.explode(rows).alias("s"))
+    found = tried.select(
+        "page_id", "text", F.col("s.selector").alias("selector"), F.col("s.steps").isNotNull().alias("supported"),
+        html.matching("s.steps").alias("found"),
+    )
+    texts = F.transform("found", lambda n: html.text_of("text", n))
+    n = F.when(F.col("found").isNull(), F.lit(0)).otherwise(F.size("found"))
+    return found.select(
+        "page_id", "selector", "supported", n.cast("long").alias("n_matches"),
+        F.when(n > 0, F.get(texts, F.lit(0))).alias("first_text"),
+        F.when(n > 0, F.array_join(texts, "\n")).alias("all_text"),
+    )
+
+
 def _steps(nodes: DataFrame, name: str, default: str) -> Column:
     """Selector of a block part: the source's own (a column of the pages) or the default."""
     given = f"coalesce({name}, {sql_list([default])})" if name in nodes.columns else sql_list([default])

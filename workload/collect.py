@@ -711,6 +711,44 @@ def extract_titles(spark, sf):
     return found.where("target_element = 'title'").select("page_id", "source_id", "target_element", "selector", "selector_type", "text")
 
 
+# Fixed: the selectors that the combinator query runs, each with what it finds on the given pages.
+COMBINATORS = [
+    "h1, h2", "footer, h1", "article > p", "body > article > h1", "div[class]", "div[class=ad]", "div[class^=a]",
+    "div[class$=x]", "a[href^='/']", "nav li + li", "ul > li ~ li", "li:first-child",
+]
+
+
+def _links(first: bool) -> str:
+    texts = "list_transform(regexp_extract_all(html, '<li><a href=\"/[^\"]*\">([^<]*)</a></li>', 1), lambda x: " + PLAIN.format(h="x") + ")"
+    return texts if first else f"list_slice({texts}, 2, 1000000)"
+
+
+def _found(selector: str, texts: str) -> str:
+    return f"""SELECT page_id, '{selector.replace("'", "''")}' AS selector, true AS supported, len(t)::BIGINT AS n_matches,
+        CASE WHEN len(t) > 0 THEN t[1] END AS first_text, CASE WHEN len(t) > 0 THEN array_to_string(t, chr(10)) END AS all_text
+        FROM (SELECT page_id, {texts} AS t FROM pages)"""
+
+
+H1 = PLAIN.format(h="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+FOOTER = PLAIN.format(h="regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")
+FIRST_P = PLAIN.format(h="regexp_extract(html, '(?s)</h1>(<p>.*)</article>', 1)")
+AD = PLAIN.format(h="regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")
+
+
+@case("selector_matches", "\nUNION ALL\n".join([
+    _found("h1, h2", f"[{H1}]"), _found("footer, h1", f"[{H1}, {FOOTER}]"), _found("article > p", f"[{FIRST_P}]"),
+    _found("body > article > h1", f"[{H1}]"), _found("div[class]", f"[{AD}]"), _found("div[class=ad]", f"[{AD}]"),
+    _found("div[class^=a]", f"[{AD}]"), _found("div[class$=x]", "CAST([] AS VARCHAR[])"),
+    _found("a[href^='/']", _links(True)), _found("nav li + li", _links(False)), _found("ul > li ~ li", _links(False)),
+    "SELECT page_id, 'li:first-child' AS selector, false AS supported, 0::BIGINT AS n_matches, NULL::VARCHAR AS first_text, "
+    "NULL::VARCHAR AS all_text FROM pages",
+]))
+def selector_matches(spark, sf):
+    """Lists, child and sibling combinators and attribute tests over every page; the first paragraph of
+    an article is never closed, so it is the article's only child paragraph and holds the rest."""
+    return extraction.select_all(extraction.page_nodes(crawled(spark, sf)), COMBINATORS)
+
+
 @case("adaptive_articles")
 def adaptive_articles(spark, sf):
     run = extraction.adaptive_extract(crawled(spark, sf), page_patterns(spark, sf), as_of=AS_OF, title="h1")
