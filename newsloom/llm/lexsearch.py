@@ -15,8 +15,8 @@ Method: hybrid term-at-a-time / document-at-a-time over an inverted index.
    only if one of its long terms gives enough: long terms sorted by their highest impact, those whose
    sum stays below the threshold are not essential (their sum is R), and a document that reaches the
    threshold holds an essential term giving at least (threshold - R) / (number of essential terms).
-   The threshold is the larger of the k-th best exact accumulator and, for each long term, its own
-   k-th best posting (k documents reach that with this term alone). Long postings carry an impact band
+   The threshold is the larger of the k-th best exact accumulator and the k-th best exact score of
+   seeds: the k best postings of each long term of the query. Long postings carry an impact band
    (floor of log2 of the impact); a query asks only for the bands that can reach its bound, so the
    join skips every other posting without pairing it. The remaining candidates are scored exactly by
    look-up over all the query's terms. Without any threshold (fewer than k documents) every long posting of
@@ -118,11 +118,16 @@ def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = T
         F.col("low").isNull() | (F.col("partial") + F.coalesce(F.col("reach"), F.lit(0)) >= F.col("low")))
     scored_acc = saved(complete(survivors.select("qrow", "qkey", "row", "doc_id", "partial"), long_q, posted, "partial"))
     theta_acc = kth(scored_acc.where(F.col("doc_id").isNotNull()), "score", k).withColumnRenamed("kth", "t1")
-    # A long term's own k-th best posting also bounds the k-th best full score from below.
-    own = kth(posted.where(F.col("doc_id").isNotNull()).withColumnRenamed("term", "qrow"), "impact", k)
-    theta_own = long_q.join(own.withColumnRenamed("qrow", "term"), "term").groupBy("qrow").agg(
-        F.max(F.col("q") * F.col("kth")).alias("t2"))
-    theta = theta_acc.join(theta_own, "qrow", "full").select("qrow", F.greatest("t1", "t2").alias("theta"))
+    # Seeds: the k best postings of each long term, scored exactly over all the query's terms. Each of
+    # those k documents scores at least its posting, so their k-th best bounds the k-th best from below,
+    # usually far above what one term gives.
+    best_of_term = posted.where(F.col("doc_id").isNotNull()).withColumn("i", F.row_number().over(
+        Window.partitionBy("term").orderBy(F.desc("impact"), "doc_id", "row"))).where(F.col("i") <= k)
+    seeds = long_q.join(best_of_term.select("term", "row", "doc_id"), "term").join(
+        qt.select("qrow", "qkey").distinct(), "qrow").select("qrow", "qkey", "row", "doc_id").distinct()
+    seeded = complete(seeds.withColumn("partial", F.lit(0).cast("long")), qt.select("qrow", "term", "q"), posted, "partial")
+    theta_seed = kth(saved(seeded), "score", k).withColumnRenamed("kth", "t2")
+    theta = theta_acc.join(theta_seed, "qrow", "full").select("qrow", F.greatest("t1", "t2").alias("theta"))
     # 4. document at a time over the long lists, skipping postings below the bound. Long terms in rising
     # order of their most: those whose sum stays below theta are not essential; a document that can reach
     # theta holds an essential term giving at least (theta - that sum) / (number of essential terms).
