@@ -108,19 +108,24 @@ def few_join(few: DataFrame, big: DataFrame, on: str) -> DataFrame:
     return few.join(F.broadcast(big.join(asked, on, "left_semi")), on, "left")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once, under the folder that `spark.checkpoint.dir` names, and read it back.
-
-    For results that several later steps read. The files survive lost executors.
-    """
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that `spark.checkpoint.dir` names; only in local mode, when unset, a new one."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="newsloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{uuid.uuid4()}"
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` once, under the folder that `spark.checkpoint.dir` names, and read it back.
+
+    For results that several later steps read. The files survive lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -553,7 +553,21 @@ PAIRS = """,
     GROUP BY b.id HAVING b.id = 23 OR round(sum(a.w * b.w), 6) >= 0.2""",
 )
 def similar_to(spark, sf):
-    return similarity.similar_to(inputs.content(spark, sf), 23, threshold=0.2, stop_words=STOP_WORDS)
+    """Looked up in the vector index at rest, built once per input in the shared folder."""
+    return similarity.similar_to_indexed(spark, vector_index(spark, sf), 23, threshold=0.2)
+
+
+def vector_index(spark, sf) -> str:
+    import hashlib
+
+    from newsloom.functions.scale import shared_folder
+
+    content = inputs.content(spark, sf)
+    key = hashlib.md5(repr((sorted(content.inputFiles()), STOP_WORDS, similarity.INDEX_BUCKETS)).encode()).hexdigest()
+    path = f"{shared_folder(spark)}/vector-index-{key}"
+    if not similarity.index_ready(spark, path):
+        similarity.build_vector_index(content, path, stop_words=STOP_WORDS)
+    return path
 
 
 @case(
