@@ -45,7 +45,7 @@ from newsloom.llm.work import LOWER, checked_join, saved
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 
-SHORT_FRACTION = 0.01  # a term held by at most this share of the documents is read term at a time
+SHORT_FRACTION = 0.001  # a term held by at most this share of the documents is read term at a time
 
 
 def terms(text: Column) -> Column:
