@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,9 @@ from newsloom.llm import bytewise as B
 from newsloom.llm.work import checked_join, saved, shared_folder
 
 NEWLINE = 10
-_random = np.random.default_rng(41)
-SECOND = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FIRST = B.BYTE.copy()
-for _t in (FIRST, SECOND):  # A-Z as a-z; white space at the ends is cut off before
-    _t[65:91] = _t[97:123]
+FOLD = np.arange(256, dtype=np.uint8)  # A-Z as a-z; white space at the ends is cut off before
+FOLD[65:91] += 32
+MASK = (1 << 64) - 1
 
 
 class Lines:
@@ -57,14 +56,14 @@ class Lines:
         some = ~self.blank
         key_begin, key_end = begin.copy(), begin.copy()
         key_begin[some], key_end[some] = solid[a[some]], solid[z[some] - 1] + 1
-        up, down = B.powers(len(data) + 1)
         points = np.concatenate([[0], np.cumsum(B.IS_START[data])])
         self.points = points[key_end] - points[key_begin]
-        self.hashes = []
-        for table in (FIRST, SECOND):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)])
-            self.hashes.append(B.mixed((total[key_end] - total[key_begin]) * down[key_begin]
-                                       + (key_end - key_begin).astype(np.uint64)).view(np.int64))
+        # 128-bit XXH3 of each key's bytes, A-Z folded: a real hash, so keys that differ do not meet.
+        folded = FOLD[data].tobytes()
+        digests = [xxhash.xxh3_128_intdigest(folded[a:z]) for a, z in zip(key_begin.tolist(), key_end.tolist())]
+        low = np.array([d & MASK for d in digests], dtype=np.uint64).view(np.int64)
+        high = np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64)
+        self.hashes = [low, high]
 
 
 LINE_KEYS = "doc_id bigint, h1 bigint, h2 bigint"

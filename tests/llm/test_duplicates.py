@@ -215,3 +215,16 @@ def test_sketches_merge_and_contain(docs_of):
     both = a.join(b).select(containment(b["s2"], a["s1"]).alias("in_"), containment(a["s1"], b["s2"]).alias("of")).first()
     assert both["in_"] == 1.0 and abs(both["of"] - 496 / 3996) < 0.05
     assert s.where("doc_id < 3").agg(merged(s["s"]).alias("m")).first()["m"] == a.first()[0]
+
+
+def test_line_keys_that_collide_in_a_polynomial_hash_stay_apart(spark, docs_of):
+    """Thue-Morse order of a and b and its complement: equal under polynomials modulo 2**64."""
+    from newsloom.llm.linededup import repeated_lines
+
+    word = "a"
+    while len(word) < 1024:
+        word = word + word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word), (3, word), (4, other), (5, other), (6, other)]
+    got = {r.doc_id: r.n_dropped for r in repeated_lines(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 6: 0}
