@@ -169,9 +169,12 @@ def band(value: Column) -> Column:
 
 
 def complete(cands: DataFrame, long_q: DataFrame, posted: DataFrame, partial: str) -> DataFrame:
-    """Exact scores of (qrow, qkey, row, doc_id, partial) rows: partial plus every long term's part."""
-    asks = cands.join(long_q, "qrow")  # one row per candidate and long term of its query
-    found = asks.join(posted.select("term", "row", "impact"), ["term", "row"], "left")
-    extra = found.groupBy("qrow", "row").agg(F.sum(F.coalesce(F.col("q") * F.col("impact"), F.lit(0))).alias("extra"))
+    """Exact scores of (qrow, qkey, row, doc_id, partial) rows: partial plus every listed term's part.
+
+    The asks (one row per candidate and term of its query) are sent to the tasks that read the
+    postings when they are few (counted first), so the postings are not shuffled; otherwise both sides are."""
+    asks = saved(cands.select("qrow", "row").join(long_q, "qrow"))
+    found = checked_join(posted.select("term", "row", "impact"), asks, ["term", "row"])
+    extra = found.groupBy("qrow", "row").agg(F.sum(F.col("q") * F.col("impact")).alias("extra"))
     return cands.join(extra, ["qrow", "row"], "left").select(
         "qrow", "qkey", "row", "doc_id", (F.col(partial) + F.coalesce(F.col("extra"), F.lit(0))).alias("score"))
