@@ -29,7 +29,19 @@ from newsloom.llm.work import checked_join, saved, shared_folder
 NEWLINE = 10
 FOLD = np.arange(256, dtype=np.uint8)  # A-Z as a-z; white space at the ends is cut off before
 FOLD[65:91] += 32
-MASK = (1 << 64) - 1
+
+
+def key_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 1 << 14) -> list[np.ndarray]:
+    """128-bit XXH3 of each key's bytes, A-Z folded, as two int64 arrays: a real hash, so that keys
+    that differ do not meet. Keys are taken `block` at a time, so only their bytes are copied at once."""
+    out = np.empty((len(begin), 2), dtype="<u8")
+    for i in range(0, len(begin), block):
+        a, z = begin[i:i + block], end[i:i + block]
+        lo = int(a.min()) if len(a) else 0
+        folded = FOLD[data[lo:int(z.max()) if len(z) else lo]].tobytes()
+        raw = b"".join(xxhash.xxh3_128_digest(folded[x - lo:y - lo]) for x, y in zip(a.tolist(), z.tolist()))
+        out[i:i + len(a)] = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+    return [out[:, 0].view(np.int64).copy(), out[:, 1].view(np.int64).copy()]
 
 
 class Lines:
@@ -58,12 +70,7 @@ class Lines:
         key_begin[some], key_end[some] = solid[a[some]], solid[z[some] - 1] + 1
         points = np.concatenate([[0], np.cumsum(B.IS_START[data])])
         self.points = points[key_end] - points[key_begin]
-        # 128-bit XXH3 of each key's bytes, A-Z folded: a real hash, so keys that differ do not meet.
-        folded = FOLD[data].tobytes()
-        digests = [xxhash.xxh3_128_intdigest(folded[a:z]) for a, z in zip(key_begin.tolist(), key_end.tolist())]
-        low = np.array([d & MASK for d in digests], dtype=np.uint64).view(np.int64)
-        high = np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64)
-        self.hashes = [low, high]
+        self.hashes = key_hashes(data, key_begin, key_end)
 
 
 LINE_KEYS = "doc_id bigint, h1 bigint, h2 bigint"
