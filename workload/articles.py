@@ -616,6 +616,24 @@ def near_duplicate_pairs_min_hash(spark, sf):
     return similarity.near_duplicates(inputs.content(spark, sf), use_min_hash=True, stop_words=STOP_WORDS)
 
 
+@case("min_hash_recall")
+def min_hash_recall(spark, sf):
+    """Share of the exact near-duplicate pairs that weighted min-hash candidates find, at 0.75 and 0.4."""
+    content = inputs.content(spark, sf)
+    reps = cut_lineage(similarity.representatives(content, stop_words=STOP_WORDS))
+    out = None
+    for threshold in (0.75, 0.4):
+        pairs = lambda hashed: similarity.near_duplicates(
+            content, reps, threshold=threshold, use_min_hash=hashed, stop_words=STOP_WORDS).select("id_a", "id_b")
+        exact, found = cut_lineage(pairs(False)), cut_lineage(pairs(True))
+        row = exact.join(found.withColumn("hit", F.lit(1)), ["id_a", "id_b"], "left").agg(
+            F.count(F.lit(1)).alias("exact_pairs"), F.count("hit").alias("found_pairs"))
+        row = row.select(F.lit(threshold).alias("threshold"), "exact_pairs", "found_pairs",
+                         F.when(F.col("exact_pairs") > 0, F.col("found_pairs") / F.col("exact_pairs")).otherwise(F.lit(1.0)).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def labels(spark, sf, content: DataFrame) -> DataFrame:
     reps = cut_lineage(similarity.representatives(content, stop_words=STOP_WORDS))
     pairs = similarity.near_duplicates(content, reps, use_min_hash=False, stop_words=STOP_WORDS)
