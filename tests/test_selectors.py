@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import html
 from newsloom.functions.html import compile_css
 from newsloom.operators.extraction import page_nodes, select_all
 
@@ -73,3 +74,16 @@ def test_deep_and_flat_pages_stay_near_linear(spark):
     assert got[1, "div p"] == 20_000 and got[1, "p p"] == 19_999 and got[1, "p + p"] == 0
     assert got[2, "li ~ li"] == 19_999 and got[2, "ul > li"] == 20_000
     assert time.time() - start < 120
+
+
+def test_pages_are_parsed_in_bounded_runs():
+    import pyarrow as pa
+
+    pages = [f"<p id='a{i}'>t{i}</p>" for i in range(3 * html.RUN_PAGES)] + [None, "<b>" + "x" * html.RUN_CHARS + "</b>", "<i>y</i>"]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(pages))), "html": pages})
+    runs = list(html._page_runs(iter([batch])))
+    assert max(r.num_rows for r in runs) == html.RUN_PAGES and len(runs) == 5
+    rows = [r for run in runs for r in run.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(len(pages)))
+    assert [(r["text"], [n["tag"] for n in r["nodes"]]) for r in rows[:2]] == [("t0", ["p"]), ("t1", ["p"])]
+    assert [(r["text"][:1], len(r["nodes"])) for r in rows[-3:]] == [("", 0), ("x", 1), ("y", 1)]
