@@ -87,3 +87,25 @@ def test_summary_picks_frequent_sentences_in_text_order(spark):
     docs = spark.createDataFrame([(1, text), (2, "Too short. To cut. At all.")], "id long, content string")
     got = {r.id: r.summary for r in summarize(docs, sentences_kept=2, min_length=50, stop_words=["and", "for", "like"]).collect()}
     assert got[1] == "Cats like milk. Cats like cats and milk." and got[2] == "Too short. To cut. At all."
+
+
+def test_summaries_of_lone_texts_are_made_in_the_row(spark):
+    from newsloom.operators.summary import best_sentences
+
+    texts = ["a b a. c c c. a c b! " * 9, "   " * 50, None, "One two three. " * 20]
+    rows = [(i, t) for i, t in enumerate(texts * 5)] + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    for frame in (best_sentences(docs, stop_words=["b"]), summarize(docs, stop_words=["b"])):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.summary for r in summarize(docs, stop_words=["b"]).collect()}
+    assert got[0] == "c c c. c c c. c c c." and got[1] == texts[1] and got[2] is None
+    assert got[None] == texts[0]
+
+
+def test_sentences_of_texts_that_share_an_id_count_as_one_text(spark):
+    from newsloom.operators.summary import best_sentences
+
+    docs = spark.createDataFrame([(1, "x x. y."), (1, "x x. y."), (2, "x x. y.")], "id long, content string")
+    got = {(r.id, r.pos): (r.score, r["rank"]) for r in best_sentences(docs, stop_words=[]).collect()}
+    # twice the words, each twice as frequent, over twice the highest frequency
+    assert got == {(1, 0): (4.0, 1), (1, 1): (1.0, 2), (2, 0): (2.0, 1), (2, 1): (0.5, 2)}
