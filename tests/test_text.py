@@ -109,3 +109,19 @@ def test_sentences_of_texts_that_share_an_id_count_as_one_text(spark):
     got = {(r.id, r.pos): (r.score, r["rank"]) for r in best_sentences(docs, stop_words=[]).collect()}
     # twice the words, each twice as frequent, over twice the highest frequency
     assert got == {(1, 0): (4.0, 1), (1, 1): (1.0, 2), (2, 0): (2.0, 1), (2, 1): (0.5, 2)}
+
+
+def test_terms_are_counted_after_summaries_in_one_session(spark):
+    from newsloom.operators.tfidf import document_frequencies, term_counts, vocabulary
+
+    docs = spark.createDataFrame([(1, "x y. x y."), (2, "y x. z"), (3, "x y"), (3, "x y")], "id long, content string")
+    assert summarize(docs, min_length=1, stop_words=[]).count() == 4
+    options = {"stop_words": [], "gram_range": (1, 2)}
+    words = docs.withColumn("content", F.regexp_replace("content", "([xyz])", "$1$1"))
+    got = {(r.id, r.term): r.tf for r in term_counts(words, ["content"], **options).collect()}
+    assert got[1, "xx yy"] == 2 and got[3, "xx yy"] == 2 and got[2, "zz"] == 1 and got[1, "yy xx"] == 1
+    by_counts = vocabulary(term_counts(words, ["content"], **options), words)
+    straight = document_frequencies(words, ["content"], **options)
+    rows = lambda frame: sorted((r.term, r.df, r.n) for r in frame.collect())
+    # more rows than ids: shares are taken of the rows
+    assert rows(straight) == rows(by_counts) == [("xx", 3, 3), ("xx yy", 2, 2), ("yy", 3, 3), ("yy xx", 2, 2)]
