@@ -27,6 +27,7 @@ Only doc_id and text are read, so other columns of any name are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -35,6 +36,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,19 @@ SENTENCE_COST = 16  # cutting at a sentence end inside a document, in padding id
 TRUNCATION_COST = 256  # cutting anywhere else inside a document
 BLOCK_TOKENS = 1 << 20  # ids solved at once by one task (a block ends at a document boundary)
 ENCODE_CHARS = 1 << 20  # code points encoded at once
+KNOWN_WORDS = 500_000  # distinct words a task remembers the ids of, the first ones (some 100 MB)
+KNOWN_CHARS = 32  # longer words are not remembered
+# How a tokenizer reads a text whose ids are those of its words one after the other: no step sees beyond
+# ASCII white space (it is no part of a token, composes with nothing, and letters change case one by one).
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, part int")
@@ -72,6 +88,44 @@ def _tokenizer(path: str):
     return tok, np.array(sorted(ends), dtype=np.int64)
 
 
+@lru_cache(maxsize=4)
+def reads_by_word(path: str) -> bool:
+    """True when the ids of a text are those of its words (divided by ASCII white space) in order."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]))
+                for t in said.get("added_tokens") or [])
+    return plain and all(said.get(k) == v for k, v in BY_WORD.items())
+
+
+def encoded(tok, texts: list[str], by_word: bool, known: dict[str, bytes]) -> list[np.ndarray]:
+    """The ids of every text. With `by_word` each distinct word is encoded once; `known` remembers short ones."""
+    if not by_word:
+        return [np.asarray(e.ids, dtype=np.int32) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    if not texts:
+        return []
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    found = [known.get(w) for w in names]
+    new = [i for i, x in enumerate(found) if x is None]
+    room = KNOWN_WORDS - len(known)
+    for i, e in zip(new, tok.encode_batch_fast([names[i] for i in new], add_special_tokens=False)):
+        found[i] = np.array(e.ids, dtype=np.int32).tobytes()
+        if room > 0 and len(names[i]) <= KNOWN_CHARS:
+            known[names[i]] = found[i]
+            room -= 1
+    sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+    store = np.frombuffer(b"".join(found), dtype=np.int32)
+    n = sizes[codes]  # ids of every word, which lie in the store from `starts`
+    ends = np.cumsum(n)
+    starts = (np.cumsum(sizes) - sizes)[codes]
+    flat = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
+    last = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    until = np.concatenate([[0], ends])[last]
+    return np.split(flat, until[:-1])
+
+
 def plan_cuts(costs: dict[int, int], total: int, seq_len: int = SEQ_LEN) -> list[int]:
     """Cut positions (0 and `total` included) minimising cut costs plus padding.
 
@@ -176,6 +230,7 @@ def _slices(texts: list[str], chars: int = ENCODE_CHARS) -> Iterator[tuple[int,
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, block_tokens: int) -> Iterator[pd.DataFrame]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
     tok, sentence_ids = _tokenizer(path)
+    by_word, known = reads_by_word(path), {}
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     ids, keys, size, done = [], [], 0, 0
 
@@ -192,8 +247,8 @@ def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, bl
         texts = batch["text"].fillna("").tolist()
         doc_keys = batch["doc_id"].tolist()
         for lo, hi in _slices(texts):  # encodings hold offsets and token strings: a bounded number at once
-            for key, enc in zip(doc_keys[lo:hi], tok.encode_batch(texts[lo:hi], add_special_tokens=False)):
-                one = np.append(np.asarray(enc.ids, dtype=np.int32), np.int32(END_ID))
+            for key, found in zip(doc_keys[lo:hi], encoded(tok, texts[lo:hi], by_word, known)):
+                one = np.append(found, np.int32(END_ID))
                 ids.append(one)
                 keys.append(None if key is None or key != key else int(key))
                 size += len(one)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from newsloom.llm.packing import END_ID, TRUNCATION_COST, _tokenizer, candidates, pack, plan_cuts, tokenizer_path
+from newsloom.llm.packing import END_ID, TRUNCATION_COST, _tokenizer, candidates, encoded, pack, plan_cuts, reads_by_word, tokenizer_path
 
 
 def cost_of(cuts, costs, total, L):
@@ -72,3 +72,27 @@ def test_empty_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", 7, 8)], "doc_id long, text string, part int, seen long")
     got = pack(df).collect()
     assert len(got) == 1 and got[0].offset == 0 and got[0].sequence_id == 0 and got[0].start == 0
+
+
+def test_words_encoded_once_give_the_ids_of_whole_texts():
+    tok, _ = _tokenizer(tokenizer_path())
+    assert reads_by_word(tokenizer_path())
+    parts = ["Caf\u00e9", "cafe\u0301", "\u0301", "\u00a0x\u00a0", "\u2003", "don't", "'S", "12\u00bd", "<|endoftext|>", "a<|startoftext|>b", "\u0130I", "\u03a3\u03a3",
+             "stra\u00dfe", "\u1e9e", "\U0001f600!?", "\u200d", "\x1c", "\x85", "\ud55c\uae00", "\u1112\u1161", "...", "\x00", "w" * 40, "the"]
+    spaces = [" ", "\n", "\t", "  \n", "\x0b", "\x0c", "\r\n", " \u00a0 ", ""]
+    rng = np.random.default_rng(0)
+    texts = ["", " ", "\n\n", *parts, *["".join(p + s for p, s in zip(rng.choice(parts, 30), rng.choice(spaces, 30))) for _ in range(200)], ""]
+    whole = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    calls = []
+
+    class Counting:
+        def encode_batch_fast(self, rows, **options):
+            calls.extend(rows)
+            return tok.encode_batch_fast(rows, **options)
+
+    known = {}
+    for _ in range(2):
+        assert [x.tolist() for x in encoded(Counting(), texts, True, known)] == whole
+    assert calls.count("the") == 1
+    assert [x.tolist() for x in encoded(tok, texts, False, {})] == whole
+    assert encoded(tok, [], True, {}) == []
