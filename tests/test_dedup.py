@@ -127,6 +127,32 @@ def test_near_duplicates_with_hot_terms_and_crowded_buckets(spark):
     assert {tuple(r) for r in crowded.collect()} <= {tuple(r) for r in found.collect()} | {tuple(r) for r in exact.collect()}
 
 
+def test_packed_vectors_hold_the_vectors_of_all_articles(spark):
+    """One row per article, with the weights of the long form; the vocabulary sent to the tasks or joined."""
+    df = near_rows(spark).unionByName(rows(spark, [(4, "delta epsilon", text(*range(20, 36)), 0), (9, "", "", 2), (9, "", "", 2)]))
+    docs = df.select("id", "title", "content", F.to_date("published").alias("day"), F.lit(1).alias("copies"))
+    want = {}
+    for r in similarity.article_vectors(docs, stop_words=[]).collect():
+        want.setdefault(r.id, []).append((r.df, round(r.w, 9)))
+    for options in ({}, {"max_sent": 0}, {"min_rows": 0, "slots": 20}):
+        got = similarity.packed_vectors(docs, stop_words=[], **options).collect()
+        assert len(got) == docs.select("id").distinct().count()
+        assert {r.id: sorted(zip(r.dfs, [round(w, 9) for w in r.ws])) for r in got} == {k: sorted(v) for k, v in want.items()}
+    short = similarity.packed_vectors(docs.dropDuplicates(["id"]), stop_words=[], min_df=1, drop_lone=True).collect()
+    assert all(d != 1 for r in short for d in r.dfs)
+
+
+def test_packed_candidates_and_pairs_equal_the_long_form(spark):
+    df = near_rows(spark).unionByName(rows(spark, [(9, "", "", 2), (10, "Zeta!", text(1, 22, 5), 4)]))
+    docs = df.select("id", "title", "content", F.when(F.col("id") != 5, F.to_date("published")).alias("day"), F.lit(1).alias("copies"))
+    long_, packed = (f(docs, stop_words=[]) for f in (similarity.article_vectors, similarity.packed_vectors))
+    for days in (7, None):
+        limits = {"threshold": 0.6, "within_days": days}
+        old, new = similarity.exact_candidates(long_, **limits), similarity.packed_candidates(packed, **limits)
+        pairs = {tuple(r) for r in similarity.verify(old, long_, threshold=0.6).collect()}
+        assert {tuple(r) for r in similarity.packed_verify(new, packed, threshold=0.6).collect()} == pairs and len(pairs) > 2
+
+
 def test_title_only_weight_still_finds_candidates(spark):
     df = rows(spark, [(1, "alpha beta gamma", "one two", 0), (2, "alpha beta gamma", "three four", 0), (3, "x", "y", 0), (4, "other words", "five six", 0)])
     got = similarity.near_duplicates(df, title_weight=0.8, content_weight=0.2, threshold=0.75, use_min_hash=False, stop_words=[])
