@@ -99,6 +99,10 @@ def known_texts() -> list[tuple[str, str]]:
 COPYRIGHT = r"(?im)^[\x20\x09]*(copyright|\(c\)|©)[^\x0A]*$"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOTHING = hashlib.md5(b"").hexdigest()
+# The first word of a text, and what it means that a dropped copyright line can stand before the first word that
+# is kept: the word begins such a line, or runs over an end of line that is not ASCII.
+FIRST_WORD = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
+MAY_BE_DROPPED = "(?i)copyright|^c$|[\u00a9\u0085\u2028\u2029]"
 
 
 def canonical(text: Column) -> Column:
@@ -110,17 +114,37 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def _one_for_all() -> dict[str, str]:
+    """A common word for first words that spellings can turn into one another."""
+    one: dict[str, str] = {}
+    for pair in SPELLINGS:
+        a, b = (one.get(w, w) for w in (t.split()[0] for t in pair))
+        one = {w: b if to == a else to for w, to in one.items()} | {a: b}
+    return one
+
+
+def head(text: Column) -> Column:
+    """The first word of a text, one word for all its spellings: texts of one canonical form have one head, or
+    `""` where a dropped line may stand before the first word. Reads no further than that word."""
+    word = F.regexp_extract(text, FIRST_WORD, 1)
+    lower = F.translate(word, *LOWER)
+    spelled = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _one_for_all().items() for x in kv]), lower), lower)
+    return F.when(word.rlike(MAY_BE_DROPPED), F.lit("")).otherwise(spelled)
+
+
 def known(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """`digest, licence` of known texts; of two licences with one text the first by name."""
+    """`digest, licence, head` of known texts; of two licences with one text the first by name."""
     rows = spark.createDataFrame(texts if texts is not None else known_texts(), "licence string, text string")
-    return rows.select("licence", F.md5(canonical(F.col("text"))).alias("digest")).where(F.col("digest") != NOTHING).groupBy(
-        "digest").agg(F.min("licence").alias("licence"))
+    plain = rows.select("licence", canonical(F.col("text")).alias("t"))
+    return plain.select("licence", F.md5("t").alias("digest"), head(F.col("t")).alias("head")).where(
+        F.col("digest") != NOTHING).groupBy("digest", "head").agg(F.min("licence").alias("licence")).select("digest", "licence", "head")
 
 
 def licence_hits(documents: DataFrame, licences: DataFrame) -> DataFrame:
     """`doc_id, licence, scope, n_units`: licences that a document is or holds.
 
-    `licences` is `digest, licence`. `n_units` counts the lines, paragraphs and whole text (each once where they are the
+    `licences` is `digest, licence`, and may have the `head` of the canonical texts: then only units with one of
+    these heads, or the head `""`, are brought to canonical form. `n_units` counts the lines, paragraphs and whole text (each once where they are the
     same) with that digest, `scope` is the widest of them: text, paragraph or line. Empty units are none. One row per
     doc_id and licence; rows that repeat a doc_id, or have none, count together. Documents without a hit have no row.
     """
@@ -133,7 +157,13 @@ def licence_hits(documents: DataFrame, licences: DataFrame) -> DataFrame:
         F.when(F.size(paragraphs) > 1, F.transform(paragraphs, lambda t: unit("paragraph", t))).otherwise(F.array().cast("array<struct<scope:string,t:string>>")),
         F.when(F.size(lines) > 1, F.transform(lines, lambda t: unit("line", t))).otherwise(F.array().cast("array<struct<scope:string,t:string>>")))
     each = documents.select("doc_id", F.explode(units).alias("u")).select(
-        "doc_id", F.col("u.scope").alias("scope"), F.md5(canonical(F.col("u.t"))).alias("digest"))
+        "doc_id", F.col("u.scope").alias("scope"), F.col("u.t").alias("t"))
+    if "head" in licences.columns:
+        heads = licences.select("head").union(documents.sparkSession.createDataFrame([("",)], "head string")).distinct()
+        each = each.withColumn("head", head(F.col("t")))
+        each = each.join(F.broadcast(heads) if is_small(heads) else heads, "head", "left_semi")
+    each = each.select("doc_id", "scope", F.md5(canonical(F.col("t"))).alias("digest"))
+    licences = licences.select("digest", "licence")
     table = F.broadcast(licences) if is_small(licences) else licences
     found = each.join(table, "digest")
     rank = {"text": 0, "paragraph": 1, "line": 2}

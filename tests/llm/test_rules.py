@@ -55,6 +55,20 @@ def test_licences(docs_of, spark):
     assert licence_hits(docs_of([]), known(spark)).collect() == []
 
 
+def test_licence_heads_leave_out_no_hit(docs_of, spark):
+    """Only units that begin like a known text are brought to canonical form, whatever stands before their first word."""
+    notice = "licensed under the MIT License"
+    texts = ["SUB-LICENCE of x", "sub license of x", "sublicense of x", "v v 3", "Ver. v 3", "Creative Commons BY 4.0", "\n\n (C) me\n -- " + notice, notice,
+             "\u00a9 2020\n" + notice, "x\u2028copyright\n" + notice, "\u0085" + notice, "copyrighted by me\n\n" + notice, "c", "c " + notice, "\x01" + notice + "\x00",
+             "non infringement x", "Noncommercial x", "NON Commercial x", "\u00c9t\u00e9 " + notice, "x " + notice, "", "---", "Copyright", None]
+    table = known(spark, [("a", "sub-licence of x"), ("b", "version v 3"), ("c", "CC BY 4.0"), ("d", notice), ("e", "non commercial x"), ("f", "noninfringement x"),
+                          ("g", "(c) x\n" + notice), ("h", "\u00a9 y"), ("i", "c " + notice), ("j", "x\u2028")])
+    docs = docs_of([*enumerate(texts), *[(100 + i, f"{a}\n{b}\n\n{c}") for i, (a, b, c) in enumerate(zip(texts[:-1], texts[5:-1], texts[11:-1]))]])
+    rows = lambda frame: sorted(map(tuple, licence_hits(docs, frame).collect()))
+    assert rows(table) == rows(table.drop("head")) and len(rows(table)) > 30
+    assert {r.head for r in known(spark, [("a", "Sub-Licence x"), ("b", "The text")]).collect()} == {"sublicense", "the"}
+
+
 ITEM = "Yesterday Alice bought 12 apples at the little shop near the river and gave Bob 5 of them before walking 3 km home"
 
 
