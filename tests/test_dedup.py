@@ -151,6 +151,7 @@ def test_packed_candidates_and_pairs_equal_the_long_form(spark):
         old, new = similarity.exact_candidates(long_, **limits), similarity.packed_candidates(packed, **limits)
         pairs = {tuple(r) for r in similarity.verify(old, long_, threshold=0.6).collect()}
         assert {tuple(r) for r in similarity.packed_verify(new, packed, threshold=0.6).collect()} == pairs and len(pairs) > 2
+    assert {tuple(r) for r in similarity.packed_verify(new, packed, threshold=0.6, most_together=1, min_rows=0, slots=20).collect()} == pairs
 
 
 def test_title_only_weight_still_finds_candidates(spark):
