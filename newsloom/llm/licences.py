@@ -162,7 +162,8 @@ def licence_hits(documents: DataFrame, licences: DataFrame) -> DataFrame:
         heads = licences.select("head").union(documents.sparkSession.createDataFrame([("",)], "head string")).distinct()
         each = each.withColumn("head", head(F.col("t")))
         each = each.join(F.broadcast(heads) if is_small(heads) else heads, "head", "left_semi")
-    each = each.select("doc_id", "scope", F.md5(canonical(F.col("t"))).alias("digest"))
+    # never null: Spark would look for nulls, and make every canonical form, before the heads are compared
+    each = each.select("doc_id", "scope", F.coalesce(F.md5(canonical(F.col("t"))), F.lit("")).alias("digest"))
     licences = licences.select("digest", "licence")
     table = F.broadcast(licences) if is_small(licences) else licences
     found = each.join(table, "digest")
