@@ -29,8 +29,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,9 +49,14 @@ END_ID = 2  # fixed: the id that closes every document
 SENTENCE_COST = 16  # cutting at a sentence end inside a document, in padding ids
 TRUNCATION_COST = 256  # cutting anywhere else inside a document
 BLOCK_TOKENS = 1 << 20  # ids solved at once by one task (a block ends at a document boundary)
-ENCODE_CHARS = 1 << 20  # code points encoded at once
-KNOWN_WORDS = 500_000  # distinct words a task remembers the ids of, the first ones (some 100 MB)
+ENCODE_CHARS = 1 << 21  # code points encoded at once
+KNOWN_WORDS = 500_000  # distinct words a worker remembers the ids of, the first ones (some 100 MB)
 KNOWN_CHARS = 32  # longer words are not remembered
+SPECIAL = b"<|"  # how every special token begins
+BLANK, WORD, SIGN, OTHER = range(4)  # kinds of bytes: ASCII white space, letters and digits, signs; the rest
+KINDS = np.array([BLANK if c in b" \t\n\v\f\r" else OTHER if c < 33 or c > 126 else WORD if chr(c).isalnum() else SIGN
+                  for c in range(256)], dtype=np.uint8)
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch  # NFC keeps them, each has one small form
 # How a tokenizer reads a text whose ids are those of its words one after the other: no step sees beyond
 # ASCII white space (it is no part of a token, composes with nothing, and letters change case one by one).
 BY_WORD = {
@@ -93,37 +98,93 @@ def reads_by_word(path: str) -> bool:
     """True when the ids of a text are those of its words (divided by ASCII white space) in order."""
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]))
+    plain = all(t["content"].startswith(SPECIAL.decode()) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]))
                 for t in said.get("added_tokens") or [])
     return plain and all(said.get(k) == v for k, v in BY_WORD.items())
 
 
-def encoded(tok, texts: list[str], by_word: bool, known: dict[str, bytes]) -> list[np.ndarray]:
+@lru_cache(maxsize=4)
+def _known(path: str) -> dict[str, bytes]:
+    """The ids of words met by this worker, over all of its tasks (at most KNOWN_WORDS)."""
+    return {}
+
+
+@lru_cache(maxsize=4)
+def _word_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a run of letters; None when the tokenizer does not mark that."""
+    with open(path, encoding="utf-8") as f:
+        if json.load(f)["model"].get("end_of_word_suffix") != "</w>":
+            return None
+    vocab = _tokenizer(path)[0].get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for text, i in vocab.items() if text.endswith("</w>")]] = True
+    return ends
+
+
+def _encode_words(tok, words: list[str], ends: np.ndarray | None) -> Iterator[bytes]:
+    """The ids of each word. Runs of Latin letters are one token run each: they are encoded as one text and
+    divided where an id ends a run; the other words one by one."""
+    runs = {w for w in words if LETTERS(w)} if ends is not None else set()
+    plain = [w for w in words if w in runs]
+    single = iter(tok.encode_batch_fast([w for w in words if w not in runs], add_special_tokens=False))
+    parts: Iterator[bytes] = iter(())
+    if plain:
+        flat = np.array(tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        cuts = [0, *((np.flatnonzero(ends[flat]) + 1) * 4).tolist()]
+        if len(cuts) != len(plain) + 1:
+            raise ValueError("the tokenizer divides runs of letters")
+        data = flat.tobytes()
+        parts = (data[a:b] for a, b in zip(cuts, cuts[1:]))
+    for w in words:
+        yield next(parts) if w in runs else np.array(next(single).ids, dtype=np.int32).tobytes()
+
+
+def _divided(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts and how many each text has, alike ones made equal where the ids allow it: closing
+    ASCII punctuation after an ASCII letter or digit is a word of its own, and A-Z before an ASCII character (it
+    composes with nothing) is small. Texts that may hold a special token stay as they are."""
+    data = ("\n".join(texts) + "\n").encode()
+    low = data.lower()
+    raw = np.frombuffer(data, dtype=np.uint8)
+    stops = np.cumsum(pc.binary_length(pa.array(texts, pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    if SPECIAL not in low:
+        raw = np.where(np.append(raw[1:], 0) < 128, np.frombuffer(low, dtype=np.uint8), raw)
+        kinds = KINDS[raw]
+        runs = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+        k = kinds[runs]
+        closing = np.flatnonzero((k[1:-1] == SIGN) & (k[:-2] == WORD) & (k[2:] == BLANK)) + 1
+        at = runs[closing]
+        raw = np.insert(raw, at, 32)
+        stops = stops + np.searchsorted(at, stops)
+    offsets = np.concatenate([[0], stops])
+    rows = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw.tobytes()))
+    words = pc.ascii_split_whitespace(rows)
+    return words.flatten(), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encoded(tok, texts: list[str], by_word: bool, known: dict[str, bytes], ends: np.ndarray | None = None) -> list[np.ndarray]:
     """The ids of every text. With `by_word` each distinct word is encoded once; `known` remembers short ones."""
     if not by_word:
         return [np.asarray(e.ids, dtype=np.int32) for e in tok.encode_batch(texts, add_special_tokens=False)]
     if not texts:
         return []
-    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-    coded = words.flatten().dictionary_encode()
+    flat, counts = _divided(texts)
+    coded = flat.dictionary_encode()
     names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    found = [known.get(w) for w in names]
+    found: list = list(map(known.get, names))
     new = [i for i, x in enumerate(found) if x is None]
-    room = KNOWN_WORDS - len(known)
-    for i, e in zip(new, tok.encode_batch_fast([names[i] for i in new], add_special_tokens=False)):
-        found[i] = np.array(e.ids, dtype=np.int32).tobytes()
-        if room > 0 and len(names[i]) <= KNOWN_CHARS:
-            known[names[i]] = found[i]
-            room -= 1
-    sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+    for i, x in zip(new, _encode_words(tok, [names[i] for i in new], ends)):
+        found[i] = x
+        if len(known) < KNOWN_WORDS and len(names[i]) <= KNOWN_CHARS:
+            known[names[i]] = x
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
     store = np.frombuffer(b"".join(found), dtype=np.int32)
     n = sizes[codes]  # ids of every word, which lie in the store from `starts`
-    ends = np.cumsum(n)
+    ends_at = np.cumsum(n)
     starts = (np.cumsum(sizes) - sizes)[codes]
-    flat = store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
-    last = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    until = np.concatenate([[0], ends])[last]
-    return np.split(flat, until[:-1])
+    ids = store[np.arange(ends_at[-1] if len(ends_at) else 0) + np.repeat(starts - (ends_at - n), n)]
+    until = np.concatenate([[0], ends_at])[np.cumsum(counts)]
+    return np.split(ids, until[:-1])
 
 
 def plan_cuts(costs: dict[int, int], total: int, seq_len: int = SEQ_LEN) -> list[int]:
@@ -132,45 +193,53 @@ def plan_cuts(costs: dict[int, int], total: int, seq_len: int = SEQ_LEN) -> list
     `costs` maps candidate positions in (0, total) to their cut cost; 0 and `total` cost nothing.
     """
     cands = np.array(sorted({0, total, *(p for p in costs if 0 < p < total)}), dtype=np.int64)
-    # Earlier candidates exactly a power of two before each one: few, found by vectorised search.
-    exact: dict[int, list[int]] = {}
+    # Earlier candidates exactly a power of two before each one: few, found by vectorised search. One a whole
+    # window before needs no look-up: the queue gives it without padding.
+    later, earlier = [], []
     p = 1
     while p <= seq_len:
-        i = np.searchsorted(cands, cands - p)
-        hit = np.flatnonzero((i < len(cands)) & (cands[np.minimum(i, len(cands) - 1)] == cands - p))
-        for j, k in zip(hit.tolist(), i[hit].tolist()):
-            exact.setdefault(j, []).append(k)
+        if p < seq_len:
+            i = np.searchsorted(cands, cands - p)
+            hit = np.flatnonzero(cands[i] == cands - p)  # i is in range: cands - p is below the last one
+            later.append(hit)
+            earlier.append(i[hit])
         p <<= 1
+    to = np.concatenate(later) if later else np.zeros(0, dtype=np.int64)
+    order = np.argsort(to, kind="stable")
+    exact = np.concatenate(earlier)[order].tolist() if later else []
+    until = np.searchsorted(to[order], np.arange(len(cands)), side="right").tolist()
     # The first candidate at most one window back, for every candidate.
     first = np.searchsorted(cands, cands - seq_len).tolist()
     pos = cands.tolist()
-    here = [0] * len(pos)
-    for j, c in enumerate(pos[1:-1], 1):
-        here[j] = costs.get(c, TRUNCATION_COST)
+    here = [costs.get(c, TRUNCATION_COST) for c in pos]
+    here[-1] = 0
     inf = float("inf")
     best, back = [inf] * len(pos), [-1] * len(pos)
     best[0] = 0
-    key = [inf] * len(pos)  # best + position, what the queue orders by
-    key[0] = 0
-    queue: deque[int] = deque()  # candidate indexes with increasing key
-    for j in range(1, len(pos)):
-        v = key[j - 1]
-        if v < inf:
-            while queue and key[queue[-1]] >= v:
-                queue.pop()
-            queue.append(j - 1)
-        lo = first[j]
-        while queue and queue[0] < lo:
-            queue.popleft()
-        c = pos[j]
-        if queue:
-            i = queue[0]
-            best[j] = key[i] + seq_len - c + here[j]
-            back[j] = i
-        for i in exact.get(j, ()):  # lengths that are a power of two carry no padding
-            if best[i] + here[j] < best[j]:
-                best[j], back[j] = best[i] + here[j], i
-        key[j] = best[j] + c
+    # Candidate indexes from `head` to `tail` with increasing best + position, which orders them.
+    queue, keys, head, tail = [0] * len(pos), [0] * len(pos), 0, 0
+    at = 0
+    for j, (lo, c, cost, end) in enumerate(zip(first, pos, here, until)):
+        if j == 0:
+            continue
+        while head <= tail and queue[head] < lo:
+            head += 1
+        b, k = inf, -1
+        if head <= tail:
+            k = queue[head]
+            b = keys[head] + seq_len - c + cost
+        for i in exact[at:end]:  # lengths that are a power of two carry no padding
+            v = best[i] + cost
+            if v < b:
+                b, k = v, i
+        at = end
+        best[j], back[j] = b, k
+        if b < inf:
+            b += c
+            while tail >= head and keys[tail] >= b:
+                tail -= 1
+            tail += 1
+            queue[tail], keys[tail] = j, b
     cuts, j = [], len(pos) - 1
     while j > 0:
         cuts.append(pos[j])
@@ -230,7 +299,7 @@ def _slices(texts: list[str], chars: int = ENCODE_CHARS) -> Iterator[tuple[int,
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, block_tokens: int) -> Iterator[pd.DataFrame]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
     tok, sentence_ids = _tokenizer(path)
-    by_word, known = reads_by_word(path), {}
+    by_word, known, ends = reads_by_word(path), _known(path), _word_ends(path)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     ids, keys, size, done = [], [], 0, 0
 
@@ -247,7 +316,7 @@ def _pack_partition(batches: Iterator[pd.DataFrame], path: str, seq_len: int, bl
         texts = batch["text"].fillna("").tolist()
         doc_keys = batch["doc_id"].tolist()
         for lo, hi in _slices(texts):  # encodings hold offsets and token strings: a bounded number at once
-            for key, found in zip(doc_keys[lo:hi], encoded(tok, texts[lo:hi], by_word, known)):
+            for key, found in zip(doc_keys[lo:hi], encoded(tok, texts[lo:hi], by_word, known, ends)):
                 one = np.append(found, np.int32(END_ID))
                 ids.append(one)
                 keys.append(None if key is None or key != key else int(key))

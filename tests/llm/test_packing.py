@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from newsloom.llm.packing import END_ID, TRUNCATION_COST, _tokenizer, candidates, encoded, pack, plan_cuts, reads_by_word, tokenizer_path
+from newsloom.llm.packing import END_ID, TRUNCATION_COST, _tokenizer, _word_ends, candidates, encoded, pack, plan_cuts, reads_by_word, tokenizer_path
 
 
 def cost_of(cuts, costs, total, L):
@@ -96,3 +96,24 @@ def test_words_encoded_once_give_the_ids_of_whole_texts():
     assert calls.count("the") == 1
     assert [x.tolist() for x in encoded(tok, texts, False, {})] == whole
     assert encoded(tok, [], True, {}) == []
+
+
+def test_words_that_differ_in_case_or_closing_signs_are_encoded_once():
+    path = tokenizer_path()
+    tok, _ = _tokenizer(path)
+    calls = []
+
+    class Counting:
+        def encode_batch_fast(self, rows, **options):
+            calls.extend(rows)
+            return tok.encode_batch_fast(rows, **options)
+
+    texts = ["Word word, WORD. word!*** (word) word's, Th\u00e9, th\u00e9", "J\u030c j\u030c T\u0308, E\u0301", "", "word\x1c,", "12, 1,2. a.b.", "z,"]
+    texts += ["<|ENDOFTEXT|>, Word", "a<|endoftext|>, b"]
+    whole = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [encoded(Counting(), [t], True, {}, _word_ends(path))[0].tolist() for t in texts] == whole
+    calls.clear()
+    got = encoded(Counting(), texts[:6], True, {}, _word_ends(path))
+    assert [x.tolist() for x in got] == whole[:6]
+    assert sum(w == "word" for row in calls for w in row.split(" ")) == 1
+    assert not any(row.startswith("word,") or row.startswith("WORD") for row in calls)
