@@ -1,26 +1,21 @@
 """Ranked lexical search: the top documents of each query by an integer BM25-like score.
 
 Method: hybrid term-at-a-time / document-at-a-time over an inverted index.
-1. The index holds postings (row, doc_id, term, tf, n): one per distinct query term of a document,
-   written once after one pass over the texts (terms no query holds are dropped in that pass).
-2. A query term is *short* when at most `short_fraction` of the documents hold it, *long* otherwise.
-   Term at a time: the postings of the short terms are joined to the queries (the queries are sent to
-   all tasks) and summed into accumulators — one partial score per (query, document).
-3. The k-th best partial score is a lower bound of the k-th best full score; an accumulator whose
-   partial score plus the most all long terms can add (each term's highest impact) stays below it can
-   never rank and is dropped. The others are completed with the long terms' contributions by a keyed
-   look-up on (term, document), so they become exact scores; the k-th best of them is the threshold.
-4. Document at a time over the long lists, treating the accumulators as one bounded iterator: a
-   document outside the accumulators scores from the long terms only, so it can reach the threshold
-   only if one of its long terms gives enough: long terms sorted by their highest impact, those whose
-   sum stays below the threshold are not essential (their sum is R), and a document that reaches the
-   threshold holds an essential term giving at least (threshold - R) / (number of essential terms).
-   The threshold is the larger of the k-th best exact accumulator and the k-th best exact score of
-   seeds: the k best postings of each long term of the query. Long postings carry an impact band
-   (floor of log2 of the impact); a query asks only for the bands that can reach its bound, so the
-   join skips every other posting without pairing it. The remaining candidates are scored exactly by
-   look-up over all the query's terms. Without any threshold (fewer than k documents) every long posting of
-   positive impact is a candidate: the exact way for the rest, with no cap.
+1. The queries are taken in runs of at most `run_terms` distinct (query, term) pairs and `run_queries`
+   queries, which are sent to all tasks. One pass over the texts writes the forward postings of a run: one
+   row per document with its number of terms and its distinct query terms with their frequencies (terms no
+   query holds are dropped in that pass). Statistics of the collection come from these rows.
+2. A task reads the postings block of documents by block, inverts each block and scores it. A query term is
+   *short* when at most `short_fraction` of the documents hold it, *long* otherwise. Short lists are read
+   term at a time into accumulators, one per (query, document of the block).
+3. The threshold of a query is the k-th best exact score its task has found so far (1 without one, as only
+   scores above 0 count). Long terms of a query, sorted by the highest impact they have in the block: those
+   whose sum stays below the threshold are not essential. The lists of essential terms are read into the
+   accumulators; a document that holds no short and no essential term cannot reach the threshold.
+4. Document at a time: an accumulator that reaches the threshold together with all the non-essential terms
+   is completed from its document's own postings and so gets its exact score; the others are dropped. Every
+   task hands on its k best documents of each query, and the k best of these are the result. Nothing is
+   sampled or capped, and nothing but those few rows is shuffled.
 
 Score (all integer but the weight): terms are maximal runs of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]`
 after lower-casing A-Z only; N documents have a term, L terms in all, n in one document, df documents
@@ -36,6 +31,11 @@ returned, so a query may get fewer than k rows. Empty tables give no rows. Only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +46,14 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 
 SHORT_FRACTION = 0.001  # a term held by at most this share of the documents is read term at a time
+RUN_TERMS = 500_000  # (query, term) pairs of a run of queries
+RUN_QUERIES = 5_000  # queries of a run
+BLOCK_CELLS = 1 << 21  # accumulators of a block: queries x documents
+BLOCK_DOCS = 4096  # documents of a block at most
+TEXT_BYTES = 1 << 22  # bytes of text read at once (a longer text is read alone)
+
+# What each byte of a text is read as: A-Z as a-z, other bytes of terms as they are, the rest as blanks.
+BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], dtype=np.uint8)
 
 
 def terms(text: Column) -> Column:
@@ -53,24 +61,56 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(TERM), 0)
 
 
-def build_index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, int, int]:
-    """Postings (row, doc_id, term, tf, n) of the `wanted` terms, written to the shared folder, with N and L.
-
-    Every document also gets one marker posting of the empty term (never a real term) that carries its
-    n, so the statistics of the whole table come from the same single pass over the texts.
-    """
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most `most` together; a larger row is a run of its own."""
+    lo = 0
+    ends = np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _postings(batch: pa.RecordBatch, wanted: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, n, codes, tfs) of the documents of a batch; codes are places in `wanted`."""
+    whole = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+    for lo, hi in _runs(pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64), TEXT_BYTES):
+        texts = pa.concat_arrays([whole.slice(lo, hi - lo)])
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+        first = int(np.frombuffer(texts.buffers()[1], dtype=np.int64, count=texts.offset + 1)[texts.offset])
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[first:first + ends[-1]]
+        plain = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(ends), pa.py_buffer(BYTES[data].tobytes()))
+        words = pc.ascii_split_whitespace(plain)
+        flat = words.flatten()
+        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # blanks at an end of a text leave an empty one
+        doc = np.repeat(np.arange(hi - lo), words.value_lengths().to_numpy(zero_copy_only=False))
+        n = np.bincount(doc[real], minlength=hi - lo)
+        code = pc.fill_null(pc.index_in(flat, value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = real & (code >= 0)
+        cells, tf = np.unique(doc[held] * max(len(wanted), 1) + code[held], return_counts=True)
+        d, c = np.divmod(cells, max(len(wanted), 1))
+        starts = pa.array(np.searchsorted(d, np.arange(hi - lo + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()),
+             pa.ListArray.from_arrays(starts, pa.array(c, pa.int32())), pa.ListArray.from_arrays(starts, pa.array(tf, pa.int64()))],
+            names=["row", "doc_id", "n", "codes", "tfs"])
+
+
+def build_index(docs: DataFrame, wanted: list[str]) -> tuple[DataFrame, int, int]:
+    """Forward postings (row, doc_id, n, codes, tfs) of the `wanted` terms, one row per document, written to
+    the shared folder, with N and L."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        terms(F.col("text")).alias("t"),
-    ).select("row", "doc_id", F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    keep = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    # Only terms of the queries pass (the query terms are sent to all tasks); the terms of one document
-    # sit in one input partition, so the partial count folds them before the shuffle.
-    found = checked_join(rows, keep, "term", "left_semi")
-    postings = saved(found.groupBy("row", "doc_id", "term", "n").agg(F.count(F.lit(1)).alias("tf")))
-    stats = postings.where(F.col("term") == "").agg(
-        F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
-    return postings.where(F.col("term") != ""), int(stats["N"]), int(stats["L"])
+        F.col("text").cast("string").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(wanted, pa.large_string())
+        for batch in batches:
+            yield from _postings(batch, known)
+
+    postings = saved(rows.mapInArrow(read, "row long, doc_id long, n long, codes array<int>, tfs array<long>"))
+    stats = postings.agg(F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    return postings, int(stats["N"]), int(stats["L"])
 
 
 def query_terms(queries: DataFrame, key: str) -> DataFrame:
@@ -81,100 +121,129 @@ def query_terms(queries: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("q"))
 
 
-def impact(n_docs: int, n_terms: int) -> Column:
-    """w * ((10^9 tf) div (1000 tf + 8 m)) of a posting that carries its term's w."""
-    m = f"(25L + (75L * n * {n_docs}L) div {max(n_terms, 1)}L)"
-    return F.col("w") * F.expr(f"(1000000000L * tf) div (1000L * tf + 8L * {m})")
-
-
-def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = TOP,
-           short_fraction: float = SHORT_FRACTION) -> DataFrame:
+class _Scorer:
+    """Scores the blocks of one task and keeps its k best documents of each query."""
+
+    def __init__(self, q: np.ndarray, t: np.ndarray, times: np.ndarray, weights: np.ndarray, short: np.ndarray,
+                 n_queries: int, n_docs: int, n_terms: int, k: int):
+        order = np.argsort(t, kind="stable")  # the pairs of a term lie together
+        self.q, self.t, self.times = q[order], t[order], times[order]
+        self.weights, self.long = weights, ~short[self.t]
+        self.n_queries, self.n_docs, self.n_terms, self.k = n_queries, n_docs, n_terms, k
+        self.of_term = np.searchsorted(self.t, np.arange(len(weights) + 1))
+        self.least = np.ones(n_queries, dtype=np.int64)  # the thresholds
+        none = np.zeros(0, dtype=np.int64)
+        self.top = (none, none, none, none)  # query, score, doc_id, row
+
+    def block(self, row: np.ndarray, doc_id: np.ndarray, n: np.ndarray, starts: np.ndarray, code: np.ndarray, tf: np.ndarray) -> None:
+        doc = np.repeat(np.arange(len(row)), np.diff(starts))
+        m = 25 + (75 * n * self.n_docs) // max(self.n_terms, 1)
+        impact = self.weights[code] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[doc]))
+        inverted = np.argsort(code, kind="stable")
+        lists = np.searchsorted(code[inverted], np.arange(len(self.weights) + 1))
+        peak = np.zeros(len(self.weights), dtype=np.int64)
+        np.maximum.at(peak, code, impact)
+        # Long terms of each query in rising order of the most they add in this block.
+        most = np.where(self.long, self.times * peak[self.t], 0)
+        rising = np.lexsort((most, self.q))
+        upto = np.cumsum(most[rising])
+        heads = np.searchsorted(self.q[rising], np.arange(self.n_queries))
+        before = np.concatenate([[0], upto])[heads]
+        sums = np.empty_like(upto)
+        sums[rising] = upto - before[self.q[rising]]
+        essential = ~self.long | (sums >= self.least[self.q])
+        spare = np.zeros(self.n_queries, dtype=np.int64)
+        np.maximum.at(spare, self.q[~essential], sums[~essential])
+        # Term at a time: the short lists and those of the essential terms.
+        acc = np.zeros((self.n_queries, len(row)), dtype=np.int64)
+        for term in np.unique(self.t[essential & (peak[self.t] > 0)]):
+            a, b = self.of_term[term], self.of_term[term + 1]
+            asked = np.flatnonzero(essential[a:b]) + a
+            held = inverted[lists[term]:lists[term + 1]]
+            acc[self.q[asked][:, None], doc[held]] += self.times[asked][:, None] * impact[held]
+        # Document at a time: what can reach the threshold is completed.
+        found_q, found_d = np.nonzero(acc + spare[:, None] >= self.least[:, None])
+        score = acc[found_q, found_d]
+        part = np.searchsorted(found_q, np.arange(self.n_queries + 1))
+        rest = np.flatnonzero(~essential)
+        rest = rest[np.argsort(self.q[rest], kind="stable")]
+        cuts = np.searchsorted(self.q[rest], np.arange(self.n_queries + 1))
+        times = np.zeros(len(self.weights), dtype=np.int64)
+        for i in np.flatnonzero((np.diff(part) > 0) & (np.diff(cuts) > 0)):
+            here, docs = rest[cuts[i]:cuts[i + 1]], found_d[part[i]:part[i + 1]]
+            times[self.t[here]] = self.times[here]
+            size = starts[docs + 1] - starts[docs]  # at least 1: a document without postings reaches nothing
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(starts[docs] - (ends - size), size)
+            score[part[i]:part[i + 1]] += np.add.reduceat(impact[at] * times[code[at]], ends - size)
+            times[self.t[here]] = 0
+        good = score >= self.least[found_q]
+        fresh = (found_q[good], score[good], doc_id[found_d[good]], row[found_d[good]])
+        q, s, d, r = (np.concatenate(x) for x in zip(self.top, fresh))
+        order = np.lexsort((r, d, -s, q))
+        q = q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = order[rank < self.k]
+        self.top = (q[rank < self.k], s[kept], d[kept], r[kept])
+        last = rank == self.k - 1
+        self.least[q[last]] = np.maximum(s[order[last]], 1)
+
+
+def _score(batches: Iterator[pa.RecordBatch], scorer: _Scorer) -> Iterator[pa.RecordBatch]:
+    most = int(min(BLOCK_DOCS, max(64, BLOCK_CELLS // max(scorer.n_queries, 1))))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, most):
+            some = batch.slice(lo, most)
+            row, doc_id, n = (some.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc_id", "n"))
+            codes, tfs = some.column("codes"), some.column("tfs")
+            starts = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+            scorer.block(row, doc_id, n, starts, codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+                         tfs.flatten().to_numpy(zero_copy_only=False))
+    q, s, d, r = scorer.top
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, d, r, s)], names=["query", "doc_id", "row", "score"])
+
+
+def _search_run(docs: DataFrame, asked: DataFrame, k: int, short_fraction: float) -> DataFrame:
+    """(qrow, doc_id, row, score): the k best documents of each task for each query of a run."""
+    spark = docs.sparkSession
+    table = asked.select("qrow", "term", "q").toArrow()  # a run, bounded
+    names = pc.unique(table["term"])
+    wanted, t = names.to_pylist(), pc.index_in(table["term"], value_set=names).to_numpy().astype(np.int64)
+    numbers, q = np.unique(table["qrow"].to_numpy(), return_inverse=True)
+    times = table["q"].to_numpy().astype(np.int64)
+    postings, n_docs, n_terms = build_index(docs, wanted)
+    df = postings.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+    w = F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
+    found = df.select("code", "df", w.alias("w")).toArrow()  # a row a term of the run
+    weights, short = np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    weights[found["code"].to_numpy()] = found["w"].to_numpy()
+    short[found["code"].to_numpy()] = found["df"].to_numpy() <= max(1.0, short_fraction * n_docs)
+    with_terms = postings.where(F.col("doc_id").isNotNull() & (F.size("codes") > 0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _score(batches, _Scorer(q, t, times, weights, short, len(numbers), n_docs, n_terms, k))
+
+    best = saved(with_terms.mapInArrow(score, "query long, doc_id long, row long, score long"))
+    ids = spark.createDataFrame(pa.table({"query": np.arange(len(numbers)), "qrow": numbers}))
+    return best.join(F.broadcast(ids), "query").select("qrow", "doc_id", "row", "score")
+
+
+def search(docs: DataFrame, queries: DataFrame, key: str = "item_id", k: int = TOP, short_fraction: float = SHORT_FRACTION,
+           run_terms: int = RUN_TERMS, run_queries: int = RUN_QUERIES) -> DataFrame:
     """(key, rank, doc_id, score): the k best documents of every query row; see the module text."""
     qt = saved(query_terms(queries, key))
-    # Postings and weights of the query terms only: the vocabulary of the corpus never leaves the executors.
-    postings, n_docs, n_terms = build_index(docs, qt.select("term").distinct())
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = saved(df.select(
-        "term", "df", F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long").alias("w")))
-    qt = qt.join(weights, "term")  # both sides are as small as the query set
-    short = F.col("df") <= F.lit(max(1.0, short_fraction * n_docs))
-    posted = checked_join(postings, weights.select("term", "w", "df"), "term").withColumn("impact", impact(n_docs, n_terms))
-    posted = posted.where(F.col("impact") > 0).select("row", "doc_id", "term", "df", "impact")
-
-    # 2. term at a time over the short lists
-    short_q = qt.where(short).select("qrow", "qkey", "term", "q")
-    acc = saved(checked_join(posted, short_q, "term").groupBy("qrow", "qkey", "row", "doc_id").agg(
-        F.sum(F.col("q") * F.col("impact")).alias("partial")))
-    long_q = qt.where(~short).select("qrow", "term", "q")
-    # The long terms can add at most `reach` to any document of a query.
-    peaks = posted.groupBy("term").agg(F.max("impact").alias("peak"))
-    reach = long_q.join(peaks, "term").groupBy("qrow").agg(F.sum(F.col("q") * F.col("peak")).alias("reach"))
-    # 3. the k-th best partial score bounds the k-th best full one from below: accumulators that cannot
-    # reach it even with every long term are dropped, the others completed by look-ups of (term, document).
-    low = kth(acc.where(F.col("doc_id").isNotNull()), "partial", k).withColumnRenamed("kth", "low")
-    survivors = acc.join(low, "qrow", "left").join(reach, "qrow", "left").where(
-        F.col("low").isNull() | (F.col("partial") + F.coalesce(F.col("reach"), F.lit(0)) >= F.col("low")))
-    scored_acc = saved(complete(survivors.select("qrow", "qkey", "row", "doc_id", "partial"), long_q, posted, "partial"))
-    theta_acc = kth(scored_acc.where(F.col("doc_id").isNotNull()), "score", k).withColumnRenamed("kth", "t1")
-    # Seeds: the k best postings of each long term, scored exactly over all the query's terms. Each of
-    # those k documents scores at least its posting, so their k-th best bounds the k-th best from below,
-    # usually far above what one term gives.
-    best_of_term = posted.where(F.col("doc_id").isNotNull()).withColumn("i", F.row_number().over(
-        Window.partitionBy("term").orderBy(F.desc("impact"), "doc_id", "row"))).where(F.col("i") <= k)
-    seeds = long_q.join(best_of_term.select("term", "row", "doc_id"), "term").join(
-        qt.select("qrow", "qkey").distinct(), "qrow").select("qrow", "qkey", "row", "doc_id").distinct()
-    seeded = complete(seeds.withColumn("partial", F.lit(0).cast("long")), qt.select("qrow", "term", "q"), posted, "partial")
-    theta_seed = kth(saved(seeded), "score", k).withColumnRenamed("kth", "t2")
-    theta = theta_acc.join(theta_seed, "qrow", "full").select("qrow", F.greatest("t1", "t2").alias("theta"))
-    # 4. document at a time over the long lists, skipping postings below the bound. Long terms in rising
-    # order of their most: those whose sum stays below theta are not essential; a document that can reach
-    # theta holds an essential term giving at least (theta - that sum) / (number of essential terms).
-    tops = long_q.join(peaks, "term").join(theta, "qrow", "left").withColumn("top", F.col("q") * F.col("peak"))
-    upto = Window.partitionBy("qrow").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tops = tops.withColumn("below", F.sum("top").over(upto))
-    essential = tops.where(F.col("theta").isNull() | (F.col("below") >= F.col("theta")))
-    rest = tops.where(F.col("theta").isNotNull() & (F.col("below") < F.col("theta"))).groupBy("qrow").agg(
-        F.max("below").alias("spare"))
-    bounds = essential.join(essential.groupBy("qrow").agg(F.count(F.lit(1)).alias("E")), "qrow").join(rest, "qrow", "left")
-    bounds = bounds.join(qt.select("qrow", "qkey").distinct(), "qrow")
-    # least impact of an essential posting able to reach theta; 1 without a theta
-    need = F.greatest(F.coalesce(F.expr("div(theta - coalesce(spare, 0L) + E * q - 1, E * q)"), F.lit(1)), F.lit(1))
-    banded = bounds.select("qrow", "qkey", "term", need.alias("need"),
-                           F.explode(F.sequence(band(need), F.lit(62))).alias("band"))
-    hits = checked_join(posted.withColumn("band", band(F.col("impact"))), banded, ["term", "band"]).where(
-        F.col("impact") >= F.col("need"))
-    # Candidates of the long lists are scored over all the query's terms: some may hold short ones too.
-    fresh = hits.select("qrow", "qkey", "row", "doc_id").distinct().withColumn("partial", F.lit(0).cast("long"))
-    scored_new = complete(fresh, qt.select("qrow", "term", "q"), posted, "partial")
-    every = scored_acc.unionByName(scored_new).where((F.col("score") > 0) & F.col("doc_id").isNotNull())
-    every = every.dropDuplicates(["qrow", "row"])  # both ways give the same exact score
+    total = qt.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("qrow").alias("queries")).first()
+    empty = qt.select(F.col("qkey").alias(key), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"),
+                      F.lit(0).cast("long").alias("score")).limit(0)
+    if total["pairs"] == 0:
+        return empty
+    n_runs = max(-(-total["pairs"] // run_terms), -(-total["queries"] // run_queries))
+    run = F.pmod(F.xxhash64("qrow"), F.lit(n_runs))
+    found = [_search_run(docs, qt.where(run == i), k, short_fraction) for i in range(n_runs)]
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
     top = every.withColumn("rank", F.row_number().over(
         Window.partitionBy("qrow").orderBy(F.desc("score"), "doc_id", "row"))).where(F.col("rank") <= k)
-    return top.select(F.col("qkey").alias(key), F.col("rank").cast("int"), "doc_id", F.col("score").cast("long"))
-
-
-def kth(scored: DataFrame, column: str, k: int) -> DataFrame:
-    """(qrow, kth): the k-th best value of `column` per query, for queries with at least k rows.
-
-    A filter on the row number lets Spark keep only k rows per query in each task before the shuffle.
-    """
-    ranked = scored.withColumn("i", F.row_number().over(Window.partitionBy("qrow").orderBy(F.desc(column), "doc_id", "row")))
-    return ranked.where(F.col("i") <= k).groupBy("qrow").agg(
-        F.min(column).alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qrow", "kth")
-
-
-def band(value: Column) -> Column:
-    """Impact band: floor(log2(value)) for values of at least 1, else 0."""
-    return F.when(value >= 1, F.floor(F.log2(value.cast("double")))).otherwise(F.lit(0)).cast("int")
-
-
-def complete(cands: DataFrame, long_q: DataFrame, posted: DataFrame, partial: str) -> DataFrame:
-    """Exact scores of (qrow, qkey, row, doc_id, partial) rows: partial plus every listed term's part.
-
-    The asks (one row per candidate and term of its query) are sent to the tasks that read the
-    postings when they are few (counted first), so the postings are not shuffled; otherwise both sides are."""
-    asks = saved(cands.select("qrow", "row").join(long_q, "qrow"))
-    found = checked_join(posted.select("term", "row", "impact"), asks, ["term", "row"])
-    extra = found.groupBy("qrow", "row").agg(F.sum(F.col("q") * F.col("impact")).alias("extra"))
-    return cands.join(extra, ["qrow", "row"], "left").select(
-        "qrow", "qkey", "row", "doc_id", (F.col(partial) + F.coalesce(F.col("extra"), F.lit(0))).alias("score"))
+    keys = saved(qt.select("qrow", "qkey").distinct())
+    return checked_join(top, keys, "qrow").select(F.col("qkey").alias(key), F.col("rank").cast("int"), "doc_id", "score")
