@@ -54,6 +54,32 @@ def test_topics(spark):
     assert topic_counts(got, limit=2).count() == 2
 
 
+def test_topics_with_the_vocabulary_in_tables(spark):
+    """A vocabulary beyond `local_terms` used to be held whole on the driver."""
+    words = [["apple pear plum", "steel iron zinc"][i % 2] for i in range(200)]
+    docs = spark.createDataFrame([(None if i == 0 else i, f"{w} {w} once{i}") for i, w in enumerate(words)] + [(7, None)], "id long, content string")
+    settings = dict(k=2, words=3, stop_words=[], gram_range=(1, 2), iterations=40)
+    model = topic_model(docs, **settings, local_terms=3)
+    assert model.vocabulary_size() == topic_model(docs, **{**settings, "iterations": 1}).vocabulary_size()
+    assert not hasattr(model, "vectorizer") and "term" in model.lda.vocabulary.columns
+    assert {r.topic: len(r.words) for r in model.topics().collect()} == {0: 3, 1: 3}
+    got = article_topics(docs, model).collect()
+    assert len(got) == 201 and sum(r.id == 7 for r in got) == 2 and sum(r.id is None for r in got) == 1
+    topics = [{r.topic for r in got if r.id and r.id != 7 and r.id % 2 == i} for i in range(2)]
+    assert len(topics[0]) == len(topics[1]) == 1 and topics[0] != topics[1]
+    assert topic_model(docs, k=2, stop_words=[], min_df=1, max_df=0.001, local_terms=0) is None
+
+
+def test_digamma_and_inference_of_one_article():
+    import numpy as np
+
+    from newsloom.operators.spreadtopics import digamma, infer
+
+    assert np.allclose(digamma(np.array([1.0, 0.5, 10.0, 0.01])), [-0.5772156649, -1.9635100260, 2.2517525890, -100.5608854579])
+    gamma, stats = infer(np.array([3.0, 1.0]), np.array([[0.5, 0.5], [1e-9, 1e-9]]), 0.5)
+    assert np.allclose(gamma, [4.5, 0.5], atol=1e-2) and np.allclose(stats.sum(axis=0), [3, 1])
+
+
 def test_topics_without_vocabulary(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "three four")], "id long, content string")
     assert topic_model(docs, stop_words=[]) is None
