@@ -127,6 +127,37 @@ def test_near_duplicates_with_hot_terms_and_crowded_buckets(spark):
     assert {tuple(r) for r in crowded.collect()} <= {tuple(r) for r in found.collect()} | {tuple(r) for r in exact.collect()}
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    """A bucket beyond `max_bucket` used to be dealt at random into parts, and partners in other parts were lost."""
+    same = text(*range(30))
+    df = rows(spark, [(i, f"alpha beta {i % 3}", f"{same} only{i} only{i}x", i % 2) for i in range(40)]
+              + [(100 + i, f"other {i}", f"apart{i} far{i}", 20) for i in range(10)])
+    vectors = similarity.representative_vectors(df, stop_words=[]).localCheckpoint()
+    limits = {"threshold": 0.75, "within_days": 7}
+    found = {tuple(r) for r in similarity.minhash_candidates(vectors, **limits, max_bucket=3).collect()}
+    want = {tuple(r) for r in similarity.near_duplicates(df, stop_words=[]).collect()}
+    assert len([p for p in want if max(p[:2]) < 40]) == 40 * 39 / 2 and {(min(p), max(p)) for p in found} >= {(a, b) for a, b, _ in want}
+    hashed = similarity.near_duplicates(df, stop_words=[], use_min_hash=True, vectors=vectors)
+    assert {tuple(r) for r in hashed.collect()} == want
+
+
+def test_samples_are_shared_by_similarity():
+    import numpy as np
+
+    from newsloom.functions.vectors import mixed, sampled
+
+    key = mixed(np.arange(1, 41, dtype=np.uint64)).view(np.int64)
+    w = np.linspace(0.5, 2, 40).astype(np.float32)
+    two = np.concatenate([key[:30], key[10:]]), np.concatenate([w[:30], w[10:]])
+    begins = np.array([0, 30])
+    hits = np.mean([np.unique(sampled(*two, begins, i)).size == 1 for i in range(4000)])
+    a, b = (np.where(np.arange(40) < 30, w, 0), np.where(np.arange(40) >= 10, w, 0))
+    both = [i for i in range(40) if a[i] and b[i]]
+    with np.errstate(divide="ignore"):
+        want = sum(1 / np.maximum(a / a[i], b / b[i]).sum() for i in both)
+    assert abs(hits - want) < 0.03
+
+
 def test_packed_vectors_hold_the_vectors_of_all_articles(spark):
     """One row per article, with the weights of the long form; the vocabulary sent to the tasks or joined."""
     df = near_rows(spark).unionByName(rows(spark, [(4, "delta epsilon", text(*range(20, 36)), 0), (9, "", "", 2), (9, "", "", 2)]))
