@@ -173,6 +173,25 @@ def test_packed_vectors_hold_the_vectors_of_all_articles(spark):
     assert all(d != 1 for r in short for d in r.dfs)
 
 
+def test_a_large_vocabulary_is_mapped_in_slices(spark):
+    """Terms beyond the size that is sent whole used to be shuffled, a row each."""
+    import numpy as np
+
+    from newsloom.functions.vectors import looked_up, slices_held
+    from newsloom.operators.similarity import _sent_slices
+
+    key = np.random.default_rng(1).integers(-2**63, 2**63, 500)
+    vocab = spark.createDataFrame([(int(k), 2 + i, 1 + i % 2) for i, k in enumerate(key)], "key long, df long, n long")
+    held = slices_held(_sent_slices(vocab, most=100))
+    assert len(held) == 8 and sum(len(names) for names, _ in held) == 500
+    asked = np.concatenate([key[::-1], key + 1])
+    hit, df, n = looked_up(asked, held)
+    assert hit.tolist() == [True] * 500 + [False] * 500 and df.tolist() == [*range(501, 1, -1)] and n.tolist() == [2, 1] * 250
+    docs = near_rows(spark).select("id", "title", "content", F.to_date("published").alias("day"), F.lit(1).alias("copies"))
+    plan = similarity.packed_vectors(docs, stop_words=[], max_sent=0)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_packed_candidates_and_pairs_equal_the_long_form(spark):
     df = near_rows(spark).unionByName(rows(spark, [(9, "", "", 2), (10, "Zeta!", text(1, 22, 5), 4)]))
     docs = df.select("id", "title", "content", F.when(F.col("id") != 5, F.to_date("published")).alias("day"), F.lit(1).alias("copies"))
