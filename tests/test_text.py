@@ -125,3 +125,15 @@ def test_terms_are_counted_after_summaries_in_one_session(spark):
     rows = lambda frame: sorted((r.term, r.df, r.n) for r in frame.collect())
     # more rows than ids: shares are taken of the rows
     assert rows(straight) == rows(by_counts) == [("xx", 3, 3), ("xx yy", 2, 2), ("yy", 3, 3), ("yy xx", 2, 2)]
+
+
+def test_weights_write_no_table_of_all_terms(spark, monkeypatch):
+    """All term rows used to be written before they were weighed."""
+    from newsloom.operators import tfidf
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two four"), (3, None)], "id long, content string")
+    written = []
+    monkeypatch.setattr(tfidf, "cut_lineage", lambda df: written.append(df.columns) or df)
+    got = {(r.id, r.term): round(r.weight, 6) for r in tfidf.tfidf(docs, stop_words=[]).collect()}
+    assert written == [["field", "term", "df", "idf", "n"]]
+    assert got == {(i, t): round(3**-0.5, 6) for i in (1, 2) for t in ("one", "two", "one two")}
