@@ -70,6 +70,15 @@ def test_topics_with_the_vocabulary_in_tables(spark):
     assert topic_model(docs, k=2, stop_words=[], min_df=1, max_df=0.001, local_terms=0) is None
 
 
+def test_parts_hold_every_article_once(spark):
+    """What all articles shuffle at once used to be on disk together."""
+    from newsloom.operators.spreadtopics import in_parts
+
+    made = []
+    out = in_parts(spark.range(100).withColumnRenamed("id", "doc"), lambda some: made.append(some) or some, most=30)
+    assert len(made) == 4 and sorted(r.doc for r in out.collect()) == list(range(100))
+
+
 def test_digamma_and_inference_of_one_article():
     import numpy as np
 
