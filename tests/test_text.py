@@ -135,5 +135,5 @@ def test_weights_write_no_table_of_all_terms(spark, monkeypatch):
     written = []
     monkeypatch.setattr(tfidf, "cut_lineage", lambda df: written.append(df.columns) or df)
     got = {(r.id, r.term): round(r.weight, 6) for r in tfidf.tfidf(docs, stop_words=[]).collect()}
-    assert written == [["field", "term", "df", "idf", "n"]]
+    assert written == [["field", "term", "df", "n", "idf"]]
     assert got == {(i, t): round(3**-0.5, 6) for i in (1, 2) for t in ("one", "two", "one two")}
